@@ -19,7 +19,7 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]]) -> DataFrame:
+def map_batches(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]]) -> DataFrame:
     """``mapInArrow`` with state made once per task: ``make()`` returns a function from a batch to dicts of columns."""
 
     def run(batches):
@@ -28,7 +28,7 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
             for columns in step(batch):
                 yield pa.RecordBatch.from_pydict(columns, schema=target)
 
-    kind = StructType.fromDDL(schema)
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     target = to_arrow_schema(kind)
     return df.mapInArrow(run, kind)
 

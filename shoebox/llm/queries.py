@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shoebox.llm import simhash
+from shoebox.llm import licenses, media, simhash
 from shoebox.llm.common import table
 
 
@@ -12,5 +12,13 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_simhash_near_dedup": op9_simhash_near_dedup}
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(table(spark, sf_dir, "documents"))
+
+
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_media_columns, op7_license_scans, op9_simhash_near_dedup)}
 ORACLE: dict[str, str] = {}
