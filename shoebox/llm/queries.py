@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shoebox.llm import licenses, media, simhash
+from shoebox.llm import bpe, licenses, media, simhash, token_scan
 from shoebox.llm.common import table
 
 
@@ -20,5 +20,24 @@ def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_media_columns, op7_license_scans, op9_simhash_near_dedup)}
+def vocabulary() -> str:
+    """Path of the public byte-level BPE vocabulary; nothing of it is kept here."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+#: The end-of-document id of that vocabulary.
+END_ID = 50256
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_scan.token_counts(table(spark, sf_dir, "documents"), vocabulary(), END_ID)
+
+
+def op6_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary())
+
+
+QUERIES = {f.__name__: f for f in (op3_media_columns, op4_token_counts, op6_bpe_encoding, op7_license_scans, op9_simhash_near_dedup)}
 ORACLE: dict[str, str] = {}
