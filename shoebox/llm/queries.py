@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shoebox.llm import bpe, licenses, media, simhash, token_scan
+from shoebox.llm import bpe, langid, licenses, media, quality, secrets, simhash, token_scan
 from shoebox.llm.common import table
 
 
@@ -39,5 +39,17 @@ def op6_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op3_media_columns, op4_token_counts, op6_bpe_encoding, op7_license_scans, op9_simhash_near_dedup)}
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(table(spark, sf_dir, "documents"))
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_ids(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_media_columns, op4_token_counts, op5_language_id, op6_bpe_encoding, op7_license_scans, op9_simhash_near_dedup, op10_secret_scans)}
 ORACLE: dict[str, str] = {}
