@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shoebox.llm import bpe, langid, licenses, media, quality, secrets, simhash, token_scan
+from shoebox.llm import bpe, decontam, langid, licenses, media, quality, secrets, simhash, token_scan
 from shoebox.llm.common import table
 
 
@@ -51,5 +51,9 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_ids(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_media_columns, op4_token_counts, op5_language_id, op6_bpe_encoding, op7_license_scans, op9_simhash_near_dedup, op10_secret_scans)}
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_media_columns, op4_token_counts, op5_language_id, op6_bpe_encoding, op7_license_scans, op8_decontamination, op9_simhash_near_dedup, op10_secret_scans)}
 ORACLE: dict[str, str] = {}
