@@ -1,0 +1,65 @@
+"""Size arithmetic of pictures and key points as column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, functions as F
+
+
+def thumb_size(w: Column, h: Column, limit: int = 1200) -> tuple[Column, Column]:
+    """Unchanged if both sides fit, else the longest side becomes ``limit``; truncated."""
+    fits = (w <= limit) & (h <= limit)
+    scale = F.lit(float(limit)) / F.greatest(w, h)
+    return F.when(fits, w).otherwise((w * scale).cast("int")), F.when(fits, h).otherwise((h * scale).cast("int"))
+
+
+def crop_box(w: Column, h: Column, dx: Column, dy: Column, target: int) -> dict[str, Column]:
+    """Resize so that the picture covers target x target, then the box at the normalised shift from the centre."""
+    scale = F.greatest(F.lit(float(target)) / w, F.lit(float(target)) / h)
+    rw, rh = (w * scale).cast("int"), (h * scale).cast("int")
+    x, y = dx * rw + (rw - target) / 2, dy * rh + (rh - target) / 2
+    return {"resized_w": rw, "resized_h": rh, "x0": x, "y0": y, "x1": x + target, "y1": y + target}
+
+
+def letterbox_box(w: Column, h: Column, target: int) -> dict[str, Column]:
+    scale = F.least(F.lit(float(target)) / w, F.lit(float(target)) / h)
+    nw, nh = (w * scale).cast("int"), (h * scale).cast("int")
+    return {"new_w": nw, "new_h": nh, "off_x": F.floor((target - nw) / 2).cast("int"), "off_y": F.floor((target - nh) / 2).cast("int")}
+
+
+def pair_points(flat: Column) -> Column:
+    """(x, y, conf)… to an array of structs."""
+    n = (F.size(flat) / 3).cast("int")
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(flat, i * 3).alias("x"), F.get(flat, i * 3 + 1).alias("y"), F.get(flat, i * 3 + 2).alias("conf")))
+
+
+def keypoint_normalize(points: Column, w: Column, h: Column, score: Column, visible_over: float = 0.1) -> tuple[Column, Column]:
+    """(landmarks scaled to the picture, confidence): the mean confidence of visible points, or the detection's if larger."""
+    landmarks = F.flatten(F.transform(points, lambda p: F.array(p["x"] / w, p["y"] / h)))
+    seen = F.filter(points, lambda p: p["conf"] > visible_over)
+    mean = F.aggregate(seen, F.lit(0.0), lambda a, p: a + p["conf"]) / F.greatest(F.size(seen), F.lit(1))
+    return landmarks, F.greatest(F.when(F.size(seen) > 0, mean).otherwise(0.0), score)
+
+
+def detection_filter(detections: Column, classes: list[str]) -> Column:
+    return detections if "all" in classes else F.filter(detections, lambda d: d["class_name"].isin(*classes))
+
+
+def primary_person(people: Column) -> Column:
+    """The person with the best confidence; on ties the first."""
+    best = F.array_max(F.transform(people, lambda p: p["pose_confidence"]))
+    return F.get(F.filter(people, lambda p: p["pose_confidence"] == best), F.lit(0))
+
+
+def mean_distance(a: Column, b: Column) -> Column:
+    """Mean distance of corresponding (x, y) pairs of two flat arrays of equal length."""
+    n = (F.size(a) / 2).cast("int")
+    d = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.sqrt(F.pow(F.get(a, i * 2) - F.get(b, i * 2), 2) + F.pow(F.get(a, i * 2 + 1) - F.get(b, i * 2 + 1), 2)))
+    return F.when(n > 0, F.aggregate(d, F.lit(0.0), lambda s, x: s + x) / n).otherwise(F.lit(float("inf")))
+
+
+def dedupe_people(people: Column, kind: str, threshold: float = 0.1) -> Column:
+    """Greedy in order: a person nearer than ``threshold`` to one already kept is dropped. ``kind`` is the array's DDL type."""
+    return F.aggregate(
+        people, F.expr(f"cast(array() as {kind})"),
+        lambda kept, p: F.when(F.exists(kept, lambda k: mean_distance(k["landmarks"], p["landmarks"]) < threshold), kept).otherwise(F.array_append(kept, p)),
+    )

@@ -1,4 +1,570 @@
-"""Registered queries of the picture-collection operators over the given tables."""
+"""Registered queries of the picture-collection operators over the given tables, with DuckDB SQL for the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shoebox.operators import catalog as C
+from shoebox.operators import geometry as G
+from shoebox.operators import paging as P
+from shoebox.operators import rollups as R
+from shoebox.plans.tables import Tables, sql
+from shoebox.sources import files as S
 
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(names: str = "", body: str = ""):
+    """Registers a function of Tables under its own name, with its oracle if SQL can express it."""
+
+    def add(function):
+        def run(spark, sf_dir):
+            return function(Tables(spark, sf_dir))
+
+        run.__name__, run.__doc__ = function.__name__, function.__doc__
+        QUERIES[function.__name__] = run
+        if body:
+            ORACLE[function.__name__] = sql(names, body)
+        return function
+
+    return add
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+# sources and sinks ------------------------------------------------------------------------------------------------------
+
+
+@query("", "select page_id, url from pages where lower(regexp_extract(url, '\\.([^./]+)$', 1)) in ('jpg','jpeg','png','bmp','tiff','tif','webp') union all select page_id + 100000000, page_id || (case page_id % 4 when 0 then '.JPG' when 1 then '.txt' when 2 then '_crop_5.png' else '.webp' end) url from pages where page_id % 4 in (0, 2, 3)")
+def discover_images(t):
+    ends = F.element_at(F.array(*[F.lit(x) for x in (".JPG", ".txt", "_crop_5.png", ".webp")]), (F.col("page_id") % 4 + 1).cast("int"))
+    pages = t.read("pages").select("page_id", "url")
+    return C.discover_images(pages.unionByName(pages.select((F.col("page_id") + 100000000).alias("page_id"), F.concat("page_id", ends).alias("url"))), path="url")
+
+
+@query("", "select page_id, page_id || '_crop_' || (page_id % 3) || '.png' path from pages where page_id % 2 = 0")
+def split_crop_files(t):
+    kind = F.when(F.col("page_id") % 2 == 0, "_crop_").otherwise("_copy_")
+    return C.split_crop_files(t.read("pages").select("page_id", F.concat("page_id", kind, F.col("page_id") % 3, F.lit(".png")).alias("path")))
+
+
+@query("", "select event_id, event_type as name, case when event_id % 7 = 0 then null else strftime(ts, '%Y-%m-%d') end as date, cast(json_extract(props, '$.k') as varchar) k from events")
+def read_import_json(t):
+    e = t.read("events")
+    date = F.when(F.col("event_id") % 7 == 0, F.lit("soon")).otherwise(F.date_format("ts", "yyyy-MM-dd"))
+    k = F.get_json_object("props", "$.k")
+    e = e.select("event_id", F.to_json(F.struct(F.col("event_type").alias("name"), date.alias("date"), k.alias("k"))).alias("json"))
+    return S.parse_import_json(e).select("event_id", "name", F.col("date").cast("string").alias("date"), F.col("extra_metadata")["k"].alias("k"))
+
+
+@query("", "with r as (select l_orderkey image_id, max(l_linenumber) target_size from lineitem group by 1) select * from r")
+def read_crop_json(t):
+    return S.largest_crop(t.lines.select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").alias("target_size")))
+
+
+@query("captions", "select image_id, trim(caption) caption from captions where image_id not in (select doc_id from labels)")
+def read_captions_txt(t):
+    return t.captions.join(t.crops.select("image_id"), "image_id", "left_anti").select("image_id", F.trim("caption").alias("caption"))
+
+
+@query("", "select id, label, round(v[1], 6) first from (select vec_id id, label, cast(embedding as double[]) v from embeddings) where label % 2 = 1")
+def embeddings_io(t):
+    from shoebox.session import shared_dir
+
+    path = f"{shared_dir(t.spark)}/embeddings-by-config"
+    rows = t.emb.withColumn("config_id", F.concat(F.lit("c"), F.col("label") % 2))
+    S.write_embeddings(rows, path)
+    return S.read_embeddings(t.spark, path, "c1").select("id", "label", r6(F.get("v", F.lit(0))).alias("first"))
+
+
+@query("poses", "select image_id, pose_confidence from poses where pose_confidence >= 0.2")
+def pose_io(t):
+    return S.load_poses(t.poses).select("image_id", "pose_confidence")
+
+
+@query("", "select l_returnflag method, l_orderkey image, len(list(l_quantity)) own, max(len(list(l_quantity))) over (partition by l_returnflag) width, round(list_sum(list(l_quantity)), 6) total from lineitem group by l_returnflag, l_orderkey")
+def feature_store_io(t):
+    from shoebox.operators.vectors import pad_by_method
+
+    g = t.lines.groupBy(F.col("l_returnflag").alias("method"), F.col("l_orderkey").alias("image")).agg(F.collect_list("l_quantity").alias("v"))
+    padded = pad_by_method(g.withColumn("own", F.size("v")))
+    return padded.select("method", "image", "own", F.size("v").alias("width"), r6(F.aggregate("v", F.lit(0.0), lambda s, x: s + x)).alias("total"))
+
+
+@query("docs captions crops", "select d.id, d.file_path as name, c.crop_file_path, k.caption from docs d left join crops c on c.image_id = d.id left join captions k on k.image_id = d.id where d.id % 10 = 0")
+def export_manifest(t):
+    ids = t.docs.filter("id % 10 = 0").select("id").unionByName(t.spark.range(10).select((-F.col("id")).alias("id")).filter("id < 0"))
+    return C.export_manifest(ids, t.docs, t.crops, t.captions)
+
+
+# catalog build ------------------------------------------------------------------------------------------------------------
+
+
+@query("photosets", "select id, case when id % 9 = 0 then null else cast(year as varchar) end as year from photosets")
+def photoset_year(t):
+    date = F.when(F.col("id") % 9 == 0, F.lit("someday")).otherwise(F.date_format("date", "MMMM d, yyyy"))
+    return t.photosets.select("id", C.photoset_year(date).alias("year"))
+
+
+@query("", "select p_partkey, 'a b ' || replace(p_name, '-', ' ') as name from part")
+def archive_name(t):
+    path = F.concat(F.lit("/archives/_a-b_"), F.translate("p_name", " ", "_"), F.lit(".zip"))
+    return t.read("part").select("p_partkey", C.archive_name(path).alias("name"))
+
+
+@query("", "select page_id, page_id || '.png' file_name from pages where page_id % 3 = 0")
+def archive_entries(t):
+    kind = F.element_at(F.array(F.lit("in/"), F.lit("__MACOSX/"), F.lit("doc/")), (F.col("page_id") % 3 + 1).cast("int"))
+    end = F.when(F.col("page_id") % 3 == 2, ".txt").otherwise(".png")
+    return C.archive_entries(t.read("pages").select("page_id", F.concat(kind, "page_id", end).alias("entry"))).select("page_id", "file_name")
+
+
+@query("tags", "select * from tags")
+def tag_dimension(t):
+    return C.tag_dimension(t.tag_rows)
+
+
+@query("image_tags", "select image_id, name from image_tags union select image_id + 1, name from image_tags where image_id % 2 = 0")
+def bridge_add(t):
+    more = t.image_tags.filter("image_id % 2 = 0").select((F.col("image_id") + 1).alias("image_id"), "name")
+    return C.bridge_add(t.image_tags, more, ["image_id", "name"])
+
+
+@query("image_tags", "select image_id, name from image_tags where image_id % 3 <> 0")
+def bridge_remove(t):
+    return C.bridge_remove(t.image_tags, t.image_tags.filter("image_id % 3 = 0"), ["image_id", "name"])[0]
+
+
+@query("", "select 'tag' kind, lang as value, array_to_string(list_sort(list_distinct(list(source))), ',') scenes from documents group by lang union all select 'year', cast(doc_id % 5 as varchar), array_to_string(list_sort(list_distinct(list(source))), ',') from documents group by doc_id % 5")
+def inverted_index(t):
+    d = t.read("documents")
+    rows = d.select(F.lit("tag").alias("kind"), F.col("lang").alias("value"), F.col("source").alias("scene")).unionByName(d.select(F.lit("year").alias("kind"), (F.col("doc_id") % 5).cast("string").alias("value"), F.col("source").alias("scene")))
+    return C.inverted_index(rows).select("kind", "value", F.array_join("scenes", ",").alias("scenes"))
+
+
+def _sets(t):
+    """Photosets with candidate names, and directories for two of three of them."""
+    sets = t.photosets.select("id", F.concat(F.lit("my_"), "name").alias("stem"), F.concat(F.lit("My "), "name").alias("name"), F.concat(F.lit("raw_"), "id", F.lit(".zip")).alias("original_filename"))
+    dirs = t.photosets.select("id", F.when(F.col("id") % 3 == 0, F.concat(F.lit("my set "), "id")).when(F.col("id") % 3 == 1, F.concat(F.lit("raw_"), "id")).otherwise("none").alias("directory"))
+    return sets, dirs
+
+
+MATCHES = "select id, case id % 3 when 0 then 'my set ' || id else 'raw_' || id end directory from photosets where id % 3 < 2"
+
+
+@query("photosets", MATCHES)
+def match_directory(t):
+    return C.match_directory(*_sets(t))
+
+
+@query("photosets", f"select p.id, m.directory, coalesce(n, 0) n_images, m.directory is not null matched from photosets p left join ({MATCHES}) m using (id) left join (select l_orderkey id, count(*) n from lineitem group by 1) c on c.id = p.id and m.directory is not null")
+def scan_report(t):
+    sets, dirs = _sets(t)
+    files = t.lines.join(dirs.filter("directory <> 'none'"), F.col("l_orderkey") == F.col("id")).select("directory")
+    return C.scan_report(sets, C.match_directory(sets, dirs), files)
+
+
+@query("images", "select file_path, filename, 'image/jpg' mime_type from images where photoset_id % 4 <> 0")
+def new_images(t):
+    return C.new_images(t.images.select("file_path"), t.images.filter("photoset_id % 4 = 0"))
+
+
+@query("photosets images", f"select p.id, case when p.id % 2 = 0 and c.n is not null then 'skipped' when p.id % 2 = 0 then 'images_added' when m.directory is null then 'created_without_directory' else 'imported' end status from photosets p left join (select photoset_id, count(*) n from images group by 1) c on c.photoset_id = p.id left join ({MATCHES}) m on m.id = p.id")
+def import_status(t):
+    sets, dirs = _sets(t)
+    return C.import_status(sets, t.photosets.filter("id % 2 = 0"), t.images, C.match_directory(sets, dirs))
+
+
+@query("", "select user_id, arg_max(event_type, (ts, event_id)) event_type, arg_max(value, (ts, event_id)) as value, strftime(min(ts), '%Y-%m-%d %H:%M:%S') created from events group by user_id")
+def upsert_latest(t):
+    e = t.read("events").select("user_id", "event_id", "ts", "event_type", "value", F.col("ts").alias("created"))
+    return C.upsert_latest(e, "user_id", ["ts", "event_id"], "created").select("user_id", "event_type", "value", F.date_format("created", "yyyy-MM-dd HH:mm:ss").alias("created"))
+
+
+@query("images", "select id, filename, case when id % 5 = 0 then null else width end width, case when id % 5 = 0 then 1 else height end height from images")
+def update_by_id(t):
+    patch = t.images.filter("id % 5 = 0").select("id", F.lit(None).cast("int").alias("width"), F.lit(1).alias("height"))
+    return C.update_by_id(t.images.select("id", "filename", "width", "height"), patch, "id", ["width", "height"])
+
+
+@query("images image_tags", "select 'images' part, count(*) n from images where photoset_id % 7 <> 0 union all select 'image_tags', count(*) from image_tags where (image_id // 10) % 7 <> 0")
+def cascade_delete(t):
+    left = C.cascade_delete(t.photosets.filter("id % 7 = 0"), t.images, {"image_tags": t.image_tags})
+    a, b = (left[k].agg(F.count("*").alias("n")).select(F.lit(k).alias("part"), "n") for k in ("images", "image_tags"))
+    return a.unionByName(b)
+
+
+@query("image_tags", "select image_id, array_to_string(list_sort(list(distinct tag)), ',') tags from (select image_id, name tag from image_tags union all select image_id, 'x' || image_id % 3 from image_tags) group by image_id")
+def merge_image_tags(t):
+    old = t.image_tags.withColumnRenamed("name", "tag")
+    new = t.image_tags.select("image_id", F.concat(F.lit("x"), F.col("image_id") % 3).alias("tag"))
+    return C.merge_image_tags(old, new).select("image_id", F.array_join("tags", ",").alias("tags"))
+
+
+# filters and projections ----------------------------------------------------------------------------------------------------
+
+
+@query("docs captions", "select id from docs where (scene in ('src1', 'src2', 'src3') or id % 11 = 0) and id in (select image_id from captions) and scene in (select source from documents where doc_id % 2 = 0)")
+def apply_filters(t):
+    scene_tags = t.docs.filter(F.col("scene").isin("src1", "src2", "src3")).select("scene", F.lit("red").alias("tag"))
+    image_tags = t.docs.filter("id % 11 = 0").select(F.col("id").alias("image_id"), F.lit("red").alias("tag"))
+    scenes = t.docs.filter("id % 2 = 0").select("scene", F.lit(2020).alias("year"))
+    return C.apply_filters(t.docs, scenes, scene_tags, image_tags, t.captions, t.crops, tag="red", year=2020, has_caption=True).select("id")
+
+
+@query("docs captions crops", "select id, 'gallery' collection_name, 'image/png' mime_type, id in (select image_id from captions) has_caption, id in (select image_id from crops) has_crop, scene in ('src1','src2') or id % 3 = 0 has_tags, id % 3 = 0 has_custom_tags, concat_ws(',', case when id % 3 = 0 then tag end, case when scene in ('src1','src2') then 'zz' end) tags from docs")
+def image_metadata(t):
+    scene_tags = t.docs.filter(F.col("scene").isin("src1", "src2")).select("scene", F.lit("zz").alias("tag"))
+    image_tags = t.docs.filter("id % 3 = 0").select(F.col("id").alias("image_id"), "tag")
+    return C.image_metadata(t.docs, t.captions, t.crops, scene_tags, image_tags).withColumn("tags", F.array_join("tags", ","))
+
+
+@query("image_tags", "select l_orderkey, array_to_string(list_sort(list(distinct x)), ',') tags from (select l_orderkey, l_returnflag x from lineitem union all select l_orderkey, l_linestatus from lineitem where l_orderkey % 2 = 0) group by 1")
+def combined_tags(t):
+    g = t.lines.groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("a"), F.collect_set("l_linestatus").alias("b"))
+    return g.select("l_orderkey", F.array_join(C.combined_tags(F.col("a"), F.when(F.col("l_orderkey") % 2 == 0, F.col("b"))), ",").alias("tags"))
+
+
+@query("image_tags tags", "select image_id, name, tag_type from image_tags join tags using (name) where tag_type = 'ECONOMY'")
+def custom_tags(t):
+    return C.tags_of(t.image_tags, C.tag_dimension(t.tag_rows), kind="ECONOMY")
+
+
+@query("images", "select id, file_path from images where photoset_id = (select min(l_orderkey) from lineitem) order by id limit 3 offset 1")
+def images_by_photoset(t):
+    first = t.lines.agg(F.min("l_orderkey").alias("photoset_id"))
+    return P.page(t.images.join(F.broadcast(first), "photoset_id", "left_semi").select("id", "file_path"), ["id"], 1, 4).filter("true").orderBy("id").offset(1).limit(3)
+
+
+@query("photosets", "select id, name from photosets where year = 1996")
+def photosets_by_year(t):
+    return t.photosets.filter("year = 1996").select("id", "name")
+
+
+@query("photosets", "select id, name from photosets where name ilike '%T_12%' escape '~'")
+def search_name(t):
+    return t.photosets.filter(F.col("name").ilike("%T_12%")).select("id", "name")
+
+
+@query("images", "select id, file_path from images where contains(filename, '3.jp') or contains(file_path, '3.jp') order by id limit 1")
+def find_by_pattern(t):
+    return C.find_by_pattern(t.images, "3.jp").select("id", "file_path")
+
+
+@query("images", "select id, case when width <= 1200 and height <= 1200 then width else cast(trunc(width * (1200.0::double / greatest(width, height))) as int) end w, case when width <= 1200 and height <= 1200 then height else cast(trunc(height * (1200.0::double / greatest(width, height))) as int) end h from images")
+def thumb_size(t):
+    w, h = G.thumb_size(F.col("width"), F.col("height"))
+    return t.images.select("id", w.alias("w"), h.alias("h"))
+
+
+@query("images", "with s as (select id, width, height, greatest(512.0::double / width, 512.0::double / height) k from images), r as (select id, cast(trunc(width * k) as int) resized_w, cast(trunc(height * k) as int) resized_h from s), b as (select *, 0.1::double * resized_w + (resized_w - 512) / 2 x0, -0.05::double * resized_h + (resized_h - 512) / 2 y0 from r) select id, resized_w, resized_h, round(x0, 6) x0, round(y0, 6) y0, round(x0 + 512, 6) x1, round(y0 + 512, 6) y1 from b")
+def crop_box(t):
+    box = G.crop_box(F.col("width"), F.col("height"), F.lit(0.1), F.lit(-0.05), 512)
+    return t.images.select("id", *[(c if k.startswith("r") else r6(c)).alias(k) for k, c in box.items()])
+
+
+@query("images", "with s as (select id, width, height, least(224.0::double / width, 224.0::double / height) k from images), r as (select id, cast(trunc(width * k) as int) new_w, cast(trunc(height * k) as int) new_h from s) select id, new_w, new_h, cast(floor((224 - new_w) / 2) as int) off_x, cast(floor((224 - new_h) / 2) as int) off_y from r")
+def letterbox_box(t):
+    return t.images.select("id", *[c.alias(k) for k, c in G.letterbox_box(F.col("width"), F.col("height"), 224).items()])
+
+
+@query("images", "select id from images where not file_size > 30000 and not width * height > 3000000")
+def size_guard(t):
+    return C.size_guard(t.images, 30000, 3000000).select("id")
+
+
+@query("", "select s_suppkey, case s_suppkey % 3 when 0 then 'D:\\pics\\' || s_suppkey || '.jpg' when 1 then '/home/' || s_suppkey || '.jpg' else 'C:\\raw' || s_suppkey end windows_path, case when s_suppkey % 3 = 2 then 'skip' when s_suppkey % 4 = 0 then 'fail' when s_suppkey % 5 = 0 then 'skip' else 'ok' end status from supplier")
+def path_convert(t):
+    k = F.col("s_suppkey")
+    s = t.read("supplier").select(k, F.when(k % 3 == 0, F.concat(F.lit("/mnt/d/pics/"), k, F.lit(".jpg"))).when(k % 3 == 1, F.concat(F.lit("/home/"), k, F.lit(".jpg"))).otherwise(F.concat(F.lit("/mnt/c/raw"), k)).alias("path"))
+    plan = C.copy_plan(s, s.filter(k % 4 != 0), s.filter(k % 5 == 0))
+    return s.join(plan, "path").select("s_suppkey", "windows_path", "status")
+
+
+@query("", "select p_partkey, regexp_replace(lower(p_brand), '[^a-z0-9]+', '', 'g') || '_' || regexp_replace(lower(p_type), '[^a-z0-9]+', '', 'g') || '_' || p_size || '_' || regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') config_id, cast(row_number() over (order by case when p_partkey = 0 then 0 else 1 end, p_partkey) as int) preference from part where p_type = (select p_type from part where p_partkey = 0)")
+def embedding_registry(t):
+    part = t.read("part").select("p_partkey", "p_type", F.col("p_partkey").cast("string").alias("config_id"), C.config_id(F.col("p_brand"), F.col("p_type"), F.col("p_size"), F.col("p_name")).alias("name"))
+    own = part.filter("p_partkey = 0").first()
+    registry = part.withColumn("config_id", F.lpad("config_id", 12, "0"))
+    out = C.compatible_configs(registry, {"p_type": own["p_type"], "config_id": "0" * 12}, ["p_type"])
+    return out.select("p_partkey", F.col("name").alias("config_id"), "preference")
+
+
+@query("points", "select id, round(list_sum(list_transform(points, lambda p: p.x / 640 + p.y / 480)), 6) total, round(greatest(coalesce(list_avg(list_transform(list_filter(points, lambda p: p.conf > 0.1), lambda p: p.conf)), 0.0), 0.05), 6) confidence from points")
+def keypoint_normalize(t):
+    marks, conf = G.keypoint_normalize(F.col("points"), F.lit(640.0), F.lit(480.0), F.lit(0.05))
+    return t.points.select("id", r6(F.aggregate(marks, F.lit(0.0), lambda s, x: s + x)).alias("total"), r6(conf).alias("confidence"))
+
+
+def _people(t):
+    person = F.struct(F.col("l_suppkey").alias("person_id"), F.round(F.col("l_discount") * 10, 4).alias("pose_confidence"), F.col("l_returnflag").alias("class_name"))
+    return t.lines.groupBy("image_id").agg(F.array_sort(F.collect_list(person)).alias("people"))
+
+
+@query("", "select l_orderkey*10+l_linenumber image_id, count(*) filter (l_returnflag in ('A', 'R')) n from lineitem group by 1")
+def detection_filter(t):
+    return _people(t).select("image_id", F.size(G.detection_filter(F.col("people"), ["A", "R"])).cast("long").alias("n"))
+
+
+@query("", "select l_orderkey*10+l_linenumber image_id, arg_min(l_suppkey, (-round(l_discount*10, 4), l_suppkey)) person_id, max(round(l_discount*10, 4)) pose_confidence from lineitem group by 1")
+def primary_person(t):
+    return _people(t).select("image_id", G.primary_person(F.col("people")).alias("p")).select("image_id", "p.person_id", "p.pose_confidence")
+
+
+@query()
+def dedupe_people(t):
+    """Greedy folds have no plain SQL; tested against brute force."""
+    e = t.emb.withColumn("g", F.col("id") % 50)
+    person = F.struct(F.col("id").alias("person_id"), F.slice("v", 1, 34).alias("landmarks"))
+    g = e.groupBy("g").agg(F.array_sort(F.collect_list(person)).alias("people"))
+    return g.select("g", F.transform(G.dedupe_people(F.col("people"), "array<struct<person_id:bigint,landmarks:array<double>>>", 0.12), lambda p: p["person_id"]).alias("kept")).select("g", F.array_join("kept", ",").alias("kept"))
+
+
+# joins --------------------------------------------------------------------------------------------------------------------
+
+
+@query("images image_tags", "select i.id, file_path from images i join image_tags on image_id = i.id where name = (select p_name from part where p_partkey = 0)")
+def images_by_tag(t):
+    name = t.read("part").filter("p_partkey = 0").first()["p_name"]
+    return C.images_by_tag(t.images, t.image_tags, name).select("id", "file_path")
+
+
+@query("image_tags tags", "select image_id, name, tag_type from image_tags join tags using (name)")
+def tags_of(t):
+    return C.tags_of(t.image_tags, C.tag_dimension(t.tag_rows))
+
+
+@query("docs captions", "select id from docs where id not in (select image_id from captions)")
+def has_caption_filter(t):
+    return C.has(t.docs, t.captions, False).select("id")
+
+
+@query("docs crops", "select id from docs where id in (select image_id from crops)")
+def has_crop_filter(t):
+    return C.has(t.docs, t.crops, True).select("id")
+
+
+@query("", "with i as (select 'x_' || n_name || '_' || c_custkey image_id from customer join nation on n_nationkey = c_nationkey) select image_id, min(n_name) scene from i join nation on contains(image_id, n_name) group by image_id")
+def scene_of_image(t):
+    n = t.read("nation")
+    i = t.read("customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat_ws("_", F.lit("x"), "n_name", "c_custkey").alias("image_id"))
+    return C.scene_of_image(i, n.select(F.col("n_name").alias("scene")))
+
+
+@query("images", "select id from images where photoset_id in (select o_orderkey from orders where o_orderkey % 7 = 0)")
+def orphan_images(t):
+    return C.orphan_images(t.images, t.photosets.filter("id % 7 <> 0")).select("id")
+
+
+@query("images", "select id from images where height = 800")
+def missing_files(t):
+    return C.absent(t.images, t.images.filter("height <> 800").select("file_path"), "file_path").select("id")
+
+
+@query("images", "select file_path from images where width > 2000")
+def orphan_files(t):
+    return C.absent(t.images.select("file_path"), t.images.filter("width <= 2000"), "file_path")
+
+
+@query("images", "select count(*) expected, count(*) filter (id % 4 <> 0) present, count(*) filter (id % 4 = 0) missing, round(count(*) filter (id % 4 <> 0) / count(*), 6) coverage, case when count(*) filter (id % 4 <> 0) / count(*) >= 0.9 then 'good' when count(*) filter (id % 4 <> 0) / count(*) >= 0.5 then 'partial' else 'poor' end band from images")
+def missing_thumbnails(t):
+    return C.thumbnail_coverage(t.images, t.images.filter("id % 4 <> 0").select(F.col("id").alias("image_id")))
+
+
+COMEMBERS = "select a.experiment_id, a.image target, b.image, row_number() over (partition by a.experiment_id, a.image order by b.image) rn from labs a join labs b on a.experiment_id = b.experiment_id and a.cluster_id = b.cluster_id and a.image <> b.image where a.cluster_id <> -1 and a.image % 20 = 1"
+
+
+@query("labs", f"select experiment_id, target, image from ({COMEMBERS}) where rn <= 20")
+def comembers(t):
+    return R.comembers(t.labels, t.emb.filter("id % 20 = 1").select(F.col("id").alias("image")), 20)
+
+
+# roll-ups -----------------------------------------------------------------------------------------------------------------
+
+
+@query("", "select distinct 'actor' kind, s_name as value from supplier union select 'tag', x from (select p_name x from part union select p_type from part) where x not in (select s_name from supplier) union select 'year', cast(year(o_orderdate) as varchar) from orders")
+def available_filters(t):
+    p = t.read("part")
+    return R.available_filters(t.read("supplier").select(F.col("s_name").alias("actor")), p.select(F.col("p_name").alias("tag")), p.select(F.col("p_type").alias("tag")), t.photosets)
+
+
+@query("photosets", "select distinct year from photosets where year is not null order by year")
+def distinct_years(t):
+    return t.photosets.select("year").filter("year is not null").distinct().orderBy("year")
+
+
+@query("tags", "select tag_type, array_to_string(list_sort(list(name)), ',') as names from tags group by 1")
+def tags_grouped(t):
+    return R.tags_grouped(C.tag_dimension(t.tag_rows)).withColumn("names", F.array_join("names", ","))
+
+
+@query("photosets images", "select p.id, count(i.id) n_images from photosets p left join images i on i.photoset_id = p.id group by p.id order by 2, 1 limit 10")
+def photoset_image_counts(t):
+    return R.photoset_image_counts(t.photosets, t.images).orderBy("n_images", "id").limit(10)
+
+
+@query("photosets images", "select count(*) n from photosets where id not in (select photoset_id from images)")
+def empty_photosets(t):
+    return C.absent(t.photosets, t.images.select(F.col("photoset_id").alias("id")), "id").agg(F.count("*").alias("n"))
+
+
+@query("images photosets", "select 'images' table_name, count(*) n, count(*) > 0 ok from images union all select 'photosets', count(*), count(*) > 0 from photosets union all select 'captions', 0, true union all select 'crops', 0, false")
+def table_counts(t):
+    none = t.images.filter("false")
+    return R.table_counts({"images": t.images, "photosets": t.photosets, "captions": none, "crops": none})
+
+
+ANALYSIS = "select cluster_id, count(*) size, round(count(*) * 100.0 / sum(count(*)) over (), 6) percentage, cluster_id = -1 is_noise from labs where experiment_id = 'b' group by 1"
+
+
+def _analysis(t):
+    return R.cluster_analysis(t.labels.filter("experiment_id = 'b'"), 5)
+
+
+@query("labs", f"select * from ({ANALYSIS}) where not is_noise or size >= 5")
+def cluster_analysis(t):
+    return _analysis(t).withColumn("percentage", F.round("percentage", 6))
+
+
+@query("labs", f"select sum(size)::bigint total_images, count(*) filter (not is_noise) n_clusters, max(size) filter (not is_noise) largest, min(size) filter (not is_noise) smallest, round(avg(size) filter (not is_noise), 6) average, (sum(size) filter (is_noise))::bigint noise_count, round((sum(size) filter (is_noise)) * 100.0 / sum(size), 6) noise_percentage from ({ANALYSIS})")
+def cluster_statistics(t):
+    s = R.cluster_statistics(_analysis(t))
+    return s.withColumn("average", r6(F.col("average"))).withColumn("noise_percentage", r6(F.col("noise_percentage")))
+
+
+@query("labs", "select cluster_id, count(*) size from labs where cluster_id <> -1 and experiment_id = 'a' group by 1 order by 2 desc, 1 limit 5")
+def cluster_top_sizes(t):
+    return R.cluster_top_sizes(t.labels.filter("experiment_id = 'a'"), 5)
+
+
+@query("labs", "select cluster_id, image from labs where experiment_id = 'b' and cluster_id <> -1")
+def cluster_members(t):
+    return R.cluster_members(t.labels.filter("experiment_id = 'b'"))
+
+
+@query("", "select round(avg(value), 6) average, max(value) maximum, min(value) minimum, round(stddev_pop(value), 6) deviation, count(*) n from events")
+def search_metrics(t):
+    s = R.search_metrics(t.read("events").select(F.col("value").alias("score")))
+    return s.withColumn("average", r6(F.col("average"))).withColumn("deviation", r6(F.col("deviation")))
+
+
+@query("poses", "select count(*) total, count(*) filter (has_pose) successful, round(count(*) filter (has_pose) / count(*), 6) success_rate, round(avg(pose_confidence) filter (has_pose), 6) confidence, round(sum(person_count) filter (has_pose) / count(*) filter (has_pose), 6) people_per_image, round(sum(total_detections) / count(*) filter (total_detections > 0), 6) detections_per_image from poses")
+def pose_statistics(t):
+    s = R.pose_statistics(t.poses)
+    return s.select("total", "successful", *[r6(F.col(c)).alias(c) for c in ("success_rate", "confidence", "people_per_image", "detections_per_image")])
+
+
+@query("images", "select l_returnflag as method, count(distinct l_orderkey*10+l_linenumber) successes, round(count(distinct l_orderkey*10+l_linenumber) / (select count(*) from images), 6) rate from lineitem group by 1")
+def feature_statistics(t):
+    return R.feature_statistics(t.lines.select(F.col("image_id").alias("image"), F.col("l_returnflag").alias("method")), t.images).withColumn("rate", F.round("rate", 6))
+
+
+RUNS = "select 'e' || event_id experiment_id, event_type algorithm, event_id % 40 n_clusters, (event_id % 10) / 10.0::double noise_ratio, round(value / 1000, 6) composite_score from events"
+
+
+def _runs(t):
+    return t.read("events").select(F.concat(F.lit("e"), "event_id").alias("experiment_id"), F.col("event_type").alias("algorithm"), (F.col("event_id") % 40).alias("n_clusters"), ((F.col("event_id") % 10) / 10.0).alias("noise_ratio"), F.round(F.col("value") / 1000, 6).alias("composite_score"))
+
+
+@query("", f"select algorithm, count(*) runs, max(composite_score) best_score, arg_max(experiment_id, (composite_score, experiment_id)) experiment_id, arg_max(n_clusters, (composite_score, experiment_id)) n_clusters, arg_max(noise_ratio, (composite_score, experiment_id)) noise_ratio, round(avg(composite_score), 6) mean_score, round(stddev_pop(composite_score), 6) deviation, min(composite_score) least_score from ({RUNS}) group by 1")
+def algorithm_summary(t):
+    s = R.algorithm_summary(_runs(t))
+    return s.withColumn("mean_score", r6(F.col("mean_score"))).withColumn("deviation", r6(F.col("deviation")))
+
+
+@query("labs", f"select image, count(distinct experiment_id) experiments from ({COMEMBERS}) where rn <= 20 group by 1 order by 2 desc, 1 limit 10")
+def consistent_similars(t):
+    return R.consistent_similars(R.comembers(t.labels, t.emb.filter("id % 20 = 1").select(F.col("id").alias("image")), 20))
+
+
+@query("labs", "select cluster_id, count(*) size, count(*) filter (image % 3 = 0) extracted, round(count(*) filter (image % 3 = 0) / count(*), 6) success_rate from labs where experiment_id = 'b' group by 1")
+def extraction_summary(t):
+    labels = t.labels.filter("experiment_id = 'b'")
+    return R.extraction_summary(labels, labels.filter("image % 3 = 0")).withColumn("success_rate", F.round("success_rate", 6))
+
+
+@query("labs", "with s as (select experiment_id, cluster_id, count(*) n from labs where cluster_id <> -1 group by all) select l.experiment_id, count(*) images, (select count(*) from s where s.experiment_id = l.experiment_id) clusters, count(*) filter (cluster_id = -1) noise, (select min(n) from s where s.experiment_id = l.experiment_id) least, (select max(n) from s where s.experiment_id = l.experiment_id) most, (select round(avg(n), 6) from s where s.experiment_id = l.experiment_id) mean, coalesce(max(case when image = 10 then case when cluster_id = -1 then 'noise' else 'clustered' end end), 'missing') target_status from labs l group by 1")
+def experiment_audit(t):
+    return R.experiment_audit(t.labels, 10).withColumn("mean", F.round("mean", 6))
+
+
+# windows, sort, limit -------------------------------------------------------------------------------------------------------
+
+
+@query("images", "select cast((rn - 1) // 25 + 1 as bigint) page, id, (select cast(ceil(count(*) / 25) as bigint) from images) total_pages from (select id, row_number() over (order by file_path) rn from images) where rn > 50 and rn <= 125")
+def paginate(t):
+    total = P.total_pages(t.images, 25).select("total_pages")
+    return P.page_batch(t.images, "file_path", 3, 3, 25).join(F.broadcast(total)).select("page", "id", "total_pages")
+
+
+@query("", "select event_type, event_id, cast(row_number() over (partition by event_type order by value desc, event_id) as int) rank from events qualify rank <= 20")
+def rank_results(t):
+    e = t.read("events").select("event_type", F.col("event_id").alias("id"), F.col("value").alias("score"))
+    return P.rank_results(e, ["event_type"], 20).select("event_type", F.col("id").alias("event_id"), "rank")
+
+
+@query("", f"select experiment_id, n_clusters, composite_score from ({RUNS}) where n_clusters between 3 and 20 and composite_score > 0.05 order by composite_score desc, experiment_id limit 15")
+def top_experiments(t):
+    return P.top_experiments(_runs(t), 3, 20, 15, 0.05).select("experiment_id", "n_clusters", "composite_score")
+
+
+@query("", "select o_orderpriority service, max(strftime(o_orderdate, '%Y%m%d_%H%M%S') || '_' || o_orderkey) run_id from orders group by 1")
+def latest_run(t):
+    o = t.read("orders")
+    return P.latest_run(o.select(F.col("o_orderpriority").alias("service"), F.concat_ws("_", F.date_format("o_orderdate", "yyyyMMdd_HHmmss"), "o_orderkey").alias("run_id")))
+
+
+@query("labs", "select experiment_id, cluster_id, image from labs where experiment_id = 'a' qualify row_number() over (partition by cluster_id order by md5('42:' || image), image) <= 6")
+def cluster_examples_random(t):
+    return P.cluster_examples_random(t.labels.filter("experiment_id = 'a'"), 6)
+
+
+@query("labs", "with p as (select cluster_id, image, row_number() over (partition by cluster_id order by image) - 1 at, count(*) over (partition by cluster_id) n from labs where experiment_id = 'a') select cluster_id, image from p where n <= 5 or at in (select (i * (n - 1)) // 4 from range(0, 5) r(i))")
+def cluster_examples_even(t):
+    return P.cluster_examples_even(t.labels.filter("experiment_id = 'a'"), 5).select("cluster_id", "image")
+
+
+NAMES = "select cluster_id, image_path, case when cluster_id = -1 then 'noise_cluster' else printf('cluster_%03d', cluster_id) end directory, case when k = 0 then file else regexp_replace(file, '\\.[^.]*$', '') || printf('_%03d', k) || '.jpg' end as name from (select *, row_number() over (partition by cluster_id, file order by image_path) - 1 k from (select cast(photoset_id % 6 - 1 as int) cluster_id, file_path image_path, filename file from images where id % 9 = 0))"
+
+
+def _names(t):
+    return P.extract_names(t.images.filter("id % 9 = 0").select((F.col("photoset_id") % 6 - 1).cast("int").alias("cluster_id"), F.col("file_path").alias("image_path")))
+
+
+@query("images", NAMES)
+def extract_names(t):
+    return _names(t)
+
+
+@query("images", f"select cluster_id, cast(row_number() over (partition by cluster_id order by image_path) as int) as position, directory || '/' || name copied, image_path original from ({NAMES})")
+def extract_index(t):
+    return P.extract_index(_names(t))
+
+
+# sets and samples -----------------------------------------------------------------------------------------------------------
+
+
+@query("labs", "select image from labs group by image having count(distinct experiment_id) = 2")
+def common_images(t):
+    return R.common_images(t.labels)
+
+
+SAMPLE = "with n as (select greatest(1, cast(floor(count(*) * {f}) as bigint)) n from images), own as (select id from images where {forced}), rest as (select id, row_number() over (order by md5('42:' || id), id) rn from images where not ({forced})) select id from own union all select id from rest where rn <= (select n from n) - (select count(*) from own)"
+
+
+@query("images", SAMPLE.format(f=0.1, forced="id % 101 = 0"))
+def sample_subset(t):
+    return P.sample_subset(t.images, 0.1, t.images.filter("id % 101 = 0").unionByName(t.images.limit(1).withColumn("id", F.lit(-5)))).select("id")
+
+
+@query("images", SAMPLE.format(f=0.02, forced="id % 13 = 0"))
+def sample_percentage(t):
+    return P.sample_percentage(t.images, 2, t.images.filter("id % 13 = 0")).select("id")
+
+
+@query("images", SAMPLE.format(f=0.05, forced="false"))
+def subsample(t):
+    return P.sample_subset(t.images, 0.05).select("id")
