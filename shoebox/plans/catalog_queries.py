@@ -522,7 +522,7 @@ def cluster_examples_random(t):
     return P.cluster_examples_random(t.labels.filter("experiment_id = 'a'"), 6)
 
 
-@query("labs", "with p as (select cluster_id, image, row_number() over (partition by cluster_id order by image) - 1 at, count(*) over (partition by cluster_id) n from labs where experiment_id = 'a') select cluster_id, image from p where n <= 5 or at in (select (i * (n - 1)) // 4 from range(0, 5) r(i))")
+@query("labs", "with p as (select cluster_id, image, row_number() over (partition by cluster_id order by image) - 1 pos, count(*) over (partition by cluster_id) n from labs where experiment_id = 'a') select cluster_id, image from p where n <= 5 or pos in (select (i * (n - 1)) // 4 from range(0, 5) r(i))")
 def cluster_examples_even(t):
     return P.cluster_examples_even(t.labels.filter("experiment_id = 'a'"), 5).select("cluster_id", "image")
 
