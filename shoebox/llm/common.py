@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -36,3 +37,18 @@ def map_batches(df: DataFrame, schema: str | StructType, make: Callable[[], Call
 def texts_as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def pack_texts():
+    """Task function from (key, text) to (key, compressed text): texts are shuffled once, compressed."""
+    squeeze = zstandard.ZstdCompressor(level=3)
+
+    def step(batch):
+        yield {"key": batch.column(0), "packed": pa.array([squeeze.compress(t) for t in texts_as_bytes(batch.column(1))], pa.binary())}
+
+    return step
+
+
+def unpack_texts(column: pa.Array) -> list[bytes]:
+    expand = zstandard.ZstdDecompressor()
+    return [expand.decompress(p) for p in column.to_pylist()]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shoebox.llm import bpe, decontam, langid, licenses, media, quality, secrets, simhash, token_scan
+from shoebox.llm import bpe, decontam, langid, licenses, media, quality, secrets, simhash, suffix_dedup, token_scan
 from shoebox.llm.common import table
 
 
@@ -55,5 +55,9 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_media_columns, op4_token_counts, op5_language_id, op6_bpe_encoding, op7_license_scans, op8_decontamination, op9_simhash_near_dedup, op10_secret_scans)}
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_suffix_dedup, op3_media_columns, op4_token_counts, op5_language_id, op6_bpe_encoding, op7_license_scans, op8_decontamination, op9_simhash_near_dedup, op10_secret_scans)}
 ORACLE: dict[str, str] = {}
