@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shoebox.operators import catalog as C
-from shoebox.operators import geometry as G
+from shoebox.functions import geometry as G
 from shoebox.operators import paging as P
 from shoebox.operators import rollups as R
 from shoebox.plans.tables import Tables, sql
