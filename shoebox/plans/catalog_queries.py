@@ -51,6 +51,15 @@ def split_crop_files(t):
     return C.split_crop_files(t.read("pages").select("page_id", F.concat("page_id", kind, F.col("page_id") % 3, F.lit(".png")).alias("path")))
 
 
+@query("", "select o_orderkey scene, o_orderstatus actor, cast(year(o_orderdate) as varchar) as year from orders where o_orderkey % 9 <> 0")
+def read_photoset_json(t):
+    o = t.read("orders")
+    text = F.to_json(F.struct(F.array("o_orderstatus").alias("actors"), F.array("o_orderpriority").alias("tags"), F.date_format("o_orderdate", "MMMM d, yyyy").alias("date")))
+    text = F.when(F.col("o_orderkey") % 9 == 0, F.lit("{nope")).otherwise(text)
+    good, _ = S.parse_photoset_json(o.select(F.col("o_orderkey").alias("scene"), text.alias("json")))
+    return good.select("scene", F.get("actors", F.lit(0)).alias("actor"), "year")
+
+
 @query("", "select event_id, event_type as name, case when event_id % 7 = 0 then null else strftime(ts, '%Y-%m-%d') end as date, cast(json_extract(props, '$.k') as varchar) k from events")
 def read_import_json(t):
     e = t.read("events")

@@ -13,12 +13,18 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
 
 
+def parse_photoset_json(rows: DataFrame, text: str = "json") -> tuple[DataFrame, DataFrame]:
+    """(rows with actors, tags, date, year; rows whose text is no such JSON). Other columns stay."""
+    schema = "actors array<string>, tags array<string>, date string, _corrupt string"
+    parsed = rows.withColumn("_p", F.from_json(F.col(text), schema, {"columnNameOfCorruptRecord": "_corrupt"})).drop(text)
+    bad = F.col("_p").isNull() | F.col("_p._corrupt").isNotNull()
+    good = parsed.filter(~bad).select("*", "_p.actors", "_p.tags", "_p.date").drop("_p").withColumn("year", C.photoset_year(F.col("date")))
+    return good, parsed.filter(bad).drop("_p")
+
+
 def read_photoset_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(photosets with scene = file stem, actors, tags, date, year; rejected files)."""
-    rows = spark.read.schema("actors array<string>, tags array<string>, date string, _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    rows = rows.select("*", C.stem(F.col("_metadata.file_name")).alias("scene"))
-    good = rows.filter("_corrupt is null").drop("_corrupt").withColumn("year", C.photoset_year(F.col("date")))
-    return good, rows.filter("_corrupt is not null").select("scene")
+    """(photosets with scene = file stem, actors, tags, date, year; rejected files), one file a photoset."""
+    return parse_photoset_json(spark.read.text(path, wholetext=True).select(C.stem(F.col("_metadata.file_name")).alias("scene"), F.col("value").alias("json")))
 
 
 def parse_import_json(rows: DataFrame, text: str = "json") -> DataFrame:
