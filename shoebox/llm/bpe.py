@@ -21,7 +21,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from shoebox.llm.common import map_batches, texts_as_bytes
+from shoebox.llm.common import map_batches, pack_texts, unpack_texts
 
 WINDOW = 32
 CHUNK_BITS = 11  # chunks of about 2 KiB
@@ -164,7 +164,7 @@ def _chunk_rows(bits: int):
     def make():
         def step(batch):
             keys, numbers, hashes = [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), texts_as_bytes(batch.column(1)), strict=True):
+            for key, text in zip(batch.column(0).to_pylist(), unpack_texts(batch.column(1)), strict=True):
                 bounds = cuts(text, bits)
                 for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
                     keys.append(key)
@@ -183,9 +183,10 @@ def encode_documents(docs: DataFrame, vocabulary: str, bits: int = CHUNK_BITS) -
     Equal texts are encoded once; null text is empty (no tokens). Repeated rows and null ids stay; an empty table gives no
     rows; other columns are ignored. ``vocabulary`` is the path of the tokenizer's JSON file on the executors.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.md5(F.col("text").cast("binary")))
-    texts = rows.select("key", "text").dropDuplicates(["key"])
-    chunks = map_batches(texts, "key string, no int, chunk binary", _chunk_rows(bits))
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
+    # the filter is there so that all uses of the texts have one plan, and with it one shuffle
+    texts = map_batches(rows.select("key", "text"), "key binary, packed binary", pack_texts).filter("key is not null").dropDuplicates(["key"])
+    chunks = map_batches(texts, "key binary, no int, chunk binary", _chunk_rows(bits))
     shared = chunks.groupBy("chunk").agg(F.count("*").alias("n"), F.min(F.struct("key", "no")).alias("own")).filter("n > 1")
     owners = shared.select("own.*").groupBy("key").agg(F.collect_list("no").alias("mine"))
 
@@ -194,7 +195,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, bits: int = CHUNK_BITS) -
 
         def step(batch):
             hashes, ids = [], []
-            for text, mine in zip(texts_as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+            for text, mine in zip(unpack_texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 bounds = cuts(text, bits)
                 for k in mine:
                     part = text[bounds[k] : bounds[k + 1]]
@@ -204,7 +205,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, bits: int = CHUNK_BITS) -
 
         return step
 
-    encoded = map_batches(texts.join(owners, "key").select("text", "mine"), "chunk binary, ids binary", make_owned)
+    encoded = map_batches(texts.join(owners, "key").select("packed", "mine"), "chunk binary, ids binary", make_owned)
     reused = chunks.join(encoded, "chunk").groupBy("key").agg(F.collect_list(F.struct("no", "ids")).alias("known"))
 
     def make_digests():
@@ -212,7 +213,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, bits: int = CHUNK_BITS) -
 
         def step(batch):
             out = []
-            for text, known in zip(texts_as_bytes(batch.column(1)), batch.column(2), strict=True):
+            for text, known in zip(unpack_texts(batch.column(1)), batch.column(2), strict=True):
                 have = {x["no"]: np.frombuffer(x["ids"], codec.dtype) for x in known.as_py() or ()}
                 ids = stitch(text, cuts(text, bits), have, codec.encode)
                 decoded = codec.decode(ids).encode()
@@ -221,6 +222,6 @@ def encode_documents(docs: DataFrame, vocabulary: str, bits: int = CHUNK_BITS) -
 
         return step
 
-    schema = "key string, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    digests = map_batches(texts.join(reused, "key", "left").select("key", "text", "known"), schema, make_digests)
+    schema = "key binary, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    digests = map_batches(texts.join(reused, "key", "left").select("key", "packed", "known"), schema, make_digests)
     return rows.select("doc_id", "key").join(digests, "key").drop("key")
