@@ -65,8 +65,11 @@ def _pairs(value: Column) -> Column:
 
 
 def _sample(docs: DataFrame, n: int) -> DataFrame:
-    """The n rows whose hashes are least: the same rows however the table is partitioned."""
-    return docs.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(n)
+    """The n rows whose ids have the least hashes (ties: some of them). The bound is found on ids alone, so no task gathers
+    other texts than the sample's."""
+    mark = F.xxhash64("doc_id")
+    bound = docs.select(mark.alias("mark")).orderBy("mark").limit(n).agg(F.max("mark")).first()[0]
+    return docs.limit(0) if bound is None else docs.filter(mark <= bound).limit(n)
 
 
 def fit_markov(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> list[float]:
@@ -77,9 +80,9 @@ def fit_markov(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> lis
     ordinary ones. A corpus without samples gives a table of zeros (no further spans).
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text").filter("text is not null")
-    keyed = _sample(rows.filter(F.greatest(*[F.col("text").rlike(p) for _, p, _, _ in RULES])), sample_documents)
-    spans = keyed.select(base_spans(F.col("text")).alias("s"), "text")
-    random = spans.select(F.explode("s.value").alias("value"), F.lit(1).alias("label"))
+    found = rows.filter(F.greatest(*[F.col("text").rlike(p) for _, p, _, _ in RULES])).select("doc_id", base_spans(F.col("text"))["value"].alias("values"))
+    keyed = found.orderBy(F.xxhash64("doc_id"), "doc_id", "values").limit(sample_documents)
+    random = keyed.select(F.explode("values").alias("value"), F.lit(1).alias("label"))
     words = F.regexp_extract_all(F.col("text"), F.lit(ORDINARY), F.lit(1))
     plain = _sample(rows, sample_documents).select(words.alias("w"), base_spans(F.col("text")).alias("s"))
     plain = plain.select(F.explode("w").alias("value"), F.col("s.value").alias("known"))
