@@ -56,7 +56,7 @@ class Block:
     ids: list
     items: list[list[bytes]]
     vocabulary: dict[bytes, int]
-    weight: np.ndarray = field(default=None)  # idf of each word, 0 for words in over a fifth of the documents
+    weight: np.ndarray = field(default=None)  # idf of each word, 1 at least
     unknown: float = 1.0  # idf of a word in one document
     basis: np.ndarray = field(default=None)  # words x rank
     passages: dict = field(default_factory=dict)  # scale number -> (item number, unit latent vectors)
@@ -140,9 +140,8 @@ def prepare(spark: SparkSession, docs: DataFrame, items: DataFrame, rank: int =
     if not block.items:
         return block
     n, df = document_frequencies(docs, block.vocabulary)
-    weight = np.log((n + 1.0) / (df + 1.0))
-    block.weight = np.where(df > 0.2 * max(n, 5), 0.0, weight).astype(np.float32)
-    block.unknown = float(np.log((n + 1.0) / 2.0)) if n > 1 else 1.0
+    block.weight = (1.0 + np.log((n + 1.0) / (df + 1.0))).astype(np.float32)
+    block.unknown = 1.0 + float(np.log((n + 1.0) / 2.0)) if n > 1 else 1.0
     block.basis = latent_space(items.select("text").filter("text is not null"), block.vocabulary, block.weight, rank)
     short = [len(w) < SCALES[0][0] // 2 for w in block.items]
     for k, scale in enumerate(SCALES):

@@ -82,3 +82,13 @@ def test_latent_space_spans_the_largest_directions(spark):
     a = decontam._dense([decontam._cut(decontam.words_of(t.encode()), vocab)[0] for t in texts], np.ones(60, np.float32))
     s = np.linalg.svd(a, compute_uv=False)
     assert np.linalg.norm(a @ basis) ** 2 > 0.999 * (s[:40] ** 2).sum()
+
+
+def test_an_item_in_half_of_all_documents(spark):
+    rng = random.Random(7)
+    vocab = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9))) for _ in range(3000)]
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [(i, text(rng.randrange(20, 50))) for i in range(8)]
+    docs = [(i, text(40) + " " + (items[0][1] if i % 2 else text(30)) + " " + text(40)) for i in range(80)]
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, 0) for i in range(1, 80, 2)}
