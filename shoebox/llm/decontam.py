@@ -16,6 +16,7 @@ that what a task holds is bounded whatever the benchmark's size. For a block:
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,14 @@ class Block:
     basis: np.ndarray = field(default=None)  # words x rank
     passages: dict = field(default_factory=dict)  # scale number -> (item number, unit latent vectors)
 
+    @cached_property
+    def member(self) -> np.ndarray:
+        """(items, words + 1): which words an item has; the last column stands for words outside the vocabulary."""
+        out = np.zeros((len(self.items), len(self.vocabulary) + 1), bool)
+        for i, words in enumerate(self.items):
+            out[i, [self.vocabulary[w] for w in words]] = True
+        return out
+
 
 def read_block(items: DataFrame) -> Block:
     rows = items.select("item_id", "text").collect()
@@ -177,19 +186,23 @@ def _in_a_row(part: list[bytes], words: list[bytes]) -> bool:
     return any(words[i : i + n] == part for i in range(len(words) - n + 1))
 
 
-def candidates(words: list[bytes], block: Block, threshold: float = COSINE) -> dict[int, tuple[float, int, int]]:
-    """Item number -> (best cosine, first word, stop word) of the windows whose cosine reaches ``threshold``."""
+def places_of(words: list[bytes], block: Block) -> np.ndarray:
+    """Number of each word in the block's vocabulary, -1 outside of it."""
     get = block.vocabulary.get
-    at = np.array([get(w, -1) for w in words], np.int64)
+    return np.array([get(w, -1) for w in words], np.int64)
+
+
+def candidates(at: np.ndarray, block: Block, threshold: float = COSINE) -> dict[int, list[tuple[float, int, int]]]:
+    """Item number -> (cosine, first word, stop word) of every window whose cosine reaches ``threshold``."""
     known = at >= 0
     squares = np.where(known, block.weight[at] ** 2, block.unknown**2)
     sums = np.concatenate([[0.0], np.cumsum(squares)])
     own = np.concatenate([[0.0], np.cumsum(np.where(known, squares, 0.0))])
-    found: dict[int, tuple[float, int, int]] = {}
+    found: dict[int, list[tuple[float, int, int]]] = {}
     for k, (owner, latent) in block.passages.items():
         width, step = SCALES[k]
-        first = starts(len(words), width, step)
-        stop = np.minimum(first + width, len(words))
+        first = starts(len(at), width, step)
+        stop = np.minimum(first + width, len(at))
         # a word that comes back in a window counts with its square; the norm of its sum can be larger, so the bound is loose
         repeat = np.sqrt(2.0)
         keep = np.flatnonzero((own[stop] - own[first]) * repeat >= threshold**2 * (sums[stop] - sums[first]))
@@ -201,25 +214,31 @@ def candidates(words: list[bytes], block: Block, threshold: float = COSINE) -> d
             norm = np.sqrt((counts**2).sum() + (b - a - len(hit)) * block.unknown**2)
             cosine = latent @ vector / max(norm, 1e-9)
             for j in np.flatnonzero(cosine >= threshold).tolist():
-                i, c = int(owner[j]), float(cosine[j])
-                old = found.get(i)
-                if old is None or c > old[0]:
-                    found[i] = (c, a, b)
+                found.setdefault(int(owner[j]), []).append((float(cosine[j]), a, b))
     return found
 
 
-def verify(words: list[bytes], block: Block, found: dict[int, tuple[float, int, int]]) -> list[tuple]:
-    """(item number, cosine, common share, answer present, first word, stop word) of the candidates that hold."""
+def verify(words: list[bytes], at: np.ndarray, block: Block, found: dict[int, list[tuple[float, int, int]]]) -> list[tuple]:
+    """(item number, cosine, common share, answer present, first word, stop word) of the candidates that hold.
+
+    Every window is verified; of an item's windows that hold, the one of largest share (then cosine) is returned. A window
+    around which fewer words belong to the item than a match needs cannot hold and is left out before the subsequences."""
     out = []
-    for i, (cosine, a, b) in sorted(found.items()):
-        item = block.items[i]
-        lo, hi = max(0, a - len(item)), min(len(words), b + len(item))
-        region = words[lo:hi]
-        share = common_length(item, region) / len(item)
-        if share >= COMMON_WITH_ANSWER:
-            answer = _in_a_row(item[-ANSWER_WORDS:], region)
-            if share >= COMMON or answer:
-                out.append((i, min(cosine, 1.0), share, answer, lo, hi))
+    for i, windows in sorted(found.items()):
+        item, best = block.items[i], None
+        own = np.concatenate([[0], np.cumsum(block.member[i][at])])
+        for cosine, a, b in windows:
+            lo, hi = max(0, a - len(item)), min(len(words), b + len(item))
+            if (own[hi] - own[lo]) / len(item) < COMMON_WITH_ANSWER:
+                continue
+            region = words[lo:hi]
+            share = common_length(item, region) / len(item)
+            if share >= COMMON_WITH_ANSWER and (best is None or (share, cosine) > (best[2], best[1])):
+                answer = _in_a_row(item[-ANSWER_WORDS:], region)
+                if share >= COMMON or answer:
+                    best = (i, min(cosine, 1.0), share, answer, lo, hi)
+        if best:
+            out.append(best)
     return out
 
 
@@ -233,8 +252,9 @@ def search_block(docs: DataFrame, block: Block, threshold: float = COSINE) -> Da
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), texts_as_bytes(batch.column(1)), strict=True):
                 words = words_of(text)
-                if words and (found := candidates(words, block, threshold)):
-                    rows += [(doc_id, block.ids[i], *rest) for i, *rest in verify(words, block, found)]
+                places = places_of(words, block)
+                if words and (found := candidates(places, block, threshold)):
+                    rows += [(doc_id, block.ids[i], *rest) for i, *rest in verify(words, places, block, found)]
             names = [x.split()[0] for x in schema.split(", ")]
             yield {k: [r[j] for r in rows] for j, k in enumerate(names)}
 

@@ -92,3 +92,17 @@ def test_an_item_in_half_of_all_documents(spark):
     docs = [(i, text(40) + " " + (items[0][1] if i % 2 else text(30)) + " " + text(40)) for i in range(80)]
     got = {(r.doc_id, r.item_id) for r in decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == {(i, 0) for i in range(1, 80, 2)}
+
+
+def test_every_window_of_an_item_is_verified(spark):
+    rng = random.Random(8)
+    vocab = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9))) for _ in range(3000)]
+    words = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [words(59) for _ in range(6)]
+    rewritten = list(items[0])
+    for j in range(0, 59, 4):
+        rewritten[j] = rng.choice(vocab)
+    text = " ".join(words(48) + items[0][:32] + words(400) + rewritten + words(100))
+    docs = [(0, text)] + [(i, " ".join(words(200))) for i in range(1, 60)]
+    got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(0, 0)] and got[0].common_share >= 0.7 and got[0].first_word > 300
