@@ -7,8 +7,8 @@ that what a task holds is bounded whatever the benchmark's size. For a block:
 2. A randomised SVD (subspace iteration) of the block's TF-IDF passages gives a latent space; its products with the passages
    are summed per task and by key.
 3. Every document is cut into overlapping word windows. A window's cosine with an item passage is the product of their latent
-   vectors over the window's whole norm, words that the block does not have included. No window whose known part alone is below
-   the threshold needs to be projected.
+   vectors over the norm of the window's words that the block has; a window that holds the passage's own share of the product is
+   a candidate, too, whatever stands beside it. Where a stretch lacks too many words of an item for a match, it is not projected.
 4. Candidates are verified on the words around the window: length of the longest common subsequence with the item, and
    whether the item's last words (its answer) stand there in a row.
 """
@@ -29,6 +29,8 @@ RANK = 256
 OVERSAMPLE = 16
 ROUNDS = 2
 SCALES = ((32, 16), (12, 6))  # words in a window, and from one window to the next
+STRETCH = 32  # windows that are projected at once
+FEW = 32  # up to so many passages, words are multiplied with them before they are summed (the same product)
 COSINE = 0.3
 COMMON = 0.7  # share of an item's words in the common subsequence
 COMMON_WITH_ANSWER = 0.6
@@ -58,18 +60,25 @@ class Block:
     items: list[list[bytes]]
     vocabulary: dict[bytes, int]
     weight: np.ndarray = field(default=None)  # idf of each word, 1 at least
-    unknown: float = 1.0  # idf of a word in one document
     basis: np.ndarray = field(default=None)  # words x rank
-    passages: dict = field(default_factory=dict)  # scale number -> (item number, unit latent vectors)
+    passages: dict = field(default_factory=dict)  # scale number -> (item number, unit latent vectors, their lengths before)
 
     @cached_property
-    def member(self) -> np.ndarray:
-        """(items, words + 1): which words an item has; the last column stands for words outside the vocabulary."""
-        out = np.zeros((len(self.items), len(self.vocabulary) + 1), bool)
+    def times(self) -> np.ndarray:
+        """(words + 1, items): how often a word stands in an item; the last row is for words outside the vocabulary."""
+        out = np.zeros((len(self.vocabulary) + 1, len(self.items)), np.float32)
         for i, words in enumerate(self.items):
-            out[i, [self.vocabulary[w] for w in words]] = True
+            np.add.at(out, ([self.vocabulary[w] for w in words], i), 1)
         return out
 
+    @cached_property
+    def scaled(self) -> np.ndarray:
+        return self.weight[:, None] * self.basis
+
+    @cached_property
+    def sizes(self) -> np.ndarray:
+        return np.array([len(words) for words in self.items], np.float64)
+
 
 def read_block(items: DataFrame) -> Block:
     rows = items.select("item_id", "text").collect()
@@ -150,7 +159,6 @@ def prepare(spark: SparkSession, docs: DataFrame, items: DataFrame, rank: int =
         return block
     n, df = document_frequencies(docs, block.vocabulary)
     block.weight = (1.0 + np.log((n + 1.0) / (df + 1.0))).astype(np.float32)
-    block.unknown = 1.0 + float(np.log((n + 1.0) / 2.0)) if n > 1 else 1.0
     block.basis = latent_space(items.select("text").filter("text is not null"), block.vocabulary, block.weight, rank)
     short = [len(w) < SCALES[0][0] // 2 for w in block.items]
     for k, scale in enumerate(SCALES):
@@ -162,7 +170,8 @@ def prepare(spark: SparkSession, docs: DataFrame, items: DataFrame, rank: int =
                 rows += cut
         if rows:
             latent = np.stack([block.weight[p] @ block.basis[p] for p in rows])
-            block.passages[k] = (np.array(owner), (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).astype(np.float32))
+            length = np.linalg.norm(latent, axis=1)
+            block.passages[k] = (np.array(owner), (latent / np.maximum(length[:, None], 1e-9)).astype(np.float32), length)
     return block
 
 
@@ -192,29 +201,49 @@ def places_of(words: list[bytes], block: Block) -> np.ndarray:
     return np.array([get(w, -1) for w in words], np.int64)
 
 
+def _norms(hit: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Norms of the weighted word counts of the windows hit[a:b]; repeated words are summed before they are squared."""
+    n = b - a
+    window = np.repeat(np.arange(len(n)), n)
+    keys, counts = np.unique(window * len(weight) + hit[np.arange(n.sum()) + np.repeat(a - np.cumsum(n) + n, n)], return_counts=True)
+    return np.sqrt(np.bincount(keys // len(weight), (counts * weight[keys % len(weight)]) ** 2, len(n)))
+
+
 def candidates(at: np.ndarray, block: Block, threshold: float = COSINE) -> dict[int, list[tuple[float, int, int]]]:
-    """Item number -> (cosine, first word, stop word) of every window whose cosine reaches ``threshold``."""
-    known = at >= 0
-    squares = np.where(known, block.weight[at] ** 2, block.unknown**2)
-    sums = np.concatenate([[0.0], np.cumsum(squares)])
-    own = np.concatenate([[0.0], np.cumsum(np.where(known, squares, 0.0))])
+    """Item number -> (cosine, first word, stop word) of every window that reaches ``threshold``.
+
+    Only the block's words count. The product of the latent vectors is held against the smaller one of the window's norm (then
+    it is the cosine) and the passage's latent length, so no words beside a whole passage can hide it, however rare they are.
+    A stretch of windows is projected only for items of which it and the words around have the share that a match needs."""
     found: dict[int, list[tuple[float, int, int]]] = {}
-    for k, (owner, latent) in block.passages.items():
+    for k, (owner, latent, length) in block.passages.items():
         width, step = SCALES[k]
-        first = starts(len(at), width, step)
-        stop = np.minimum(first + width, len(at))
-        # a word that comes back in a window counts with its square; the norm of its sum can be larger, so the bound is loose
-        repeat = np.sqrt(2.0)
-        keep = np.flatnonzero((own[stop] - own[first]) * repeat >= threshold**2 * (sums[stop] - sums[first]))
-        for w in keep.tolist():
-            a, b = int(first[w]), int(stop[w])
-            hit = at[a:b][known[a:b]]
-            vector = block.weight[hit] @ block.basis[hit]
-            counts = np.bincount(hit, block.weight[hit])
-            norm = np.sqrt((counts**2).sum() + (b - a - len(hit)) * block.unknown**2)
-            cosine = latent @ vector / max(norm, 1e-9)
-            for j in np.flatnonzero(cosine >= threshold).tolist():
-                found.setdefault(int(owner[j]), []).append((float(cosine[j]), a, b))
+        reach = int(block.sizes[owner].max())
+        starting = starts(len(at), width, step)
+        for s in range(0, len(starting), STRETCH):
+            first = starting[s : s + STRETCH]
+            stop = np.minimum(first + width, len(at))
+            low, high = int(first[0]), int(stop[-1])
+            present = np.unique(at[max(0, low - reach) : high + reach])
+            chosen = np.flatnonzero((block.times[present].sum(0) / block.sizes >= COMMON_WITH_ANSWER)[owner])
+            place = low + np.flatnonzero(at[low:high] >= 0)
+            a, b = np.searchsorted(place, first), np.searchsorted(place, stop)
+            full = np.flatnonzero(a < b)
+            if not len(chosen) or not len(full):
+                continue
+            a, b, hit = a[full], b[full], at[place]
+            terms, sides = block.scaled[hit], np.stack([a, b], 1).ravel()
+            few = len(chosen) <= FEW
+            if few:
+                terms = terms @ latent[chosen].T
+            product = np.add.reduceat(np.concatenate([terms, np.zeros((1, terms.shape[1]), np.float32)]), sides)[::2]
+            if not few:
+                product = product @ latent[chosen].T
+            norm = _norms(hit, a, b, block.weight)
+            enough = product >= threshold * np.minimum(norm[:, None], length[chosen])
+            for w, j in zip(*(x.tolist() for x in np.nonzero(enough & (product > 0)))):
+                at_w = full[w]
+                found.setdefault(int(owner[chosen[j]]), []).append((float(product[w, j] / norm[w]), int(first[at_w]), int(stop[at_w])))
     return found
 
 
@@ -226,7 +255,7 @@ def verify(words: list[bytes], at: np.ndarray, block: Block, found: dict[int, li
     out = []
     for i, windows in sorted(found.items()):
         item, best = block.items[i], None
-        own = np.concatenate([[0], np.cumsum(block.member[i][at])])
+        own = np.concatenate([[0], np.cumsum(block.times[at, i] > 0)])
         for cosine, a, b in windows:
             lo, hi = max(0, a - len(item)), min(len(words), b + len(item))
             if (own[hi] - own[lo]) / len(item) < COMMON_WITH_ANSWER:

@@ -106,3 +106,16 @@ def test_every_window_of_an_item_is_verified(spark):
     docs = [(0, text)] + [(i, " ".join(words(200))) for i in range(1, 60)]
     got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")).collect()
     assert [(r.doc_id, r.item_id) for r in got] == [(0, 0)] and got[0].common_share >= 0.7 and got[0].first_word > 300
+
+
+def test_rare_neighbours_do_not_hide_an_item_of_common_words(spark):
+    rng = random.Random(9)
+    made = iter(range(10**6))
+    rare = lambda n: [f"rare{next(made)}x" for _ in range(n)]
+    common, other = [f"word{i}" for i in range(16)], rare(16)
+    docs = [(i, " ".join(common[::-1] + rare(30))) for i in range(60)]
+    docs += [(100, " ".join(rare(32) + common + rare(32))), (101, " ".join(other + common + other)), (102, " ".join(rare(200)))]
+    rng.shuffle(docs)
+    items = spark.createDataFrame([(1, " ".join(common)), (2, " ".join(other))], "item_id long, text string")
+    got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(100, 1), (101, 1), (101, 2)} and all(r.common_share == 1 for r in got)
