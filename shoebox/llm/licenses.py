@@ -1,13 +1,16 @@
 """License scans: exact phrases by words, and short notices with a bounded number of edits.
 
 A notice with at most k edits holds one of k + 1 pieces unchanged (pigeonhole), so every piece is searched exactly;
-around each hit the ``regex`` library matches the whole notice with at most k errors and reports the span.
+around the hits the ``regex`` library says whether the whole notice may stand there with at most k errors, and an alignment
+reports all spans. Words that tell licenses apart (version numbers, nc, sa, mit) take no edit.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
@@ -35,6 +38,9 @@ NOTICES = {
 #: One edit is allowed for every so many characters of a notice, one at least.
 CHARS_AN_EDIT = 12
 
+#: Words of a notice in which no edit is allowed, as one edit there makes another license.
+TELLING = regex.compile(rb"(?<=\bversion )\d+|\b(?:nc|sa|mit)\b")
+
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -53,7 +59,7 @@ def _seeds(notices: tuple) -> list:
     out = []
     for notice, label in notices:
         k = edits(notice)
-        pattern = regex.compile(b"(?b)(?:" + regex.escape(notice.encode()) + b"){e<=%d}" % k)
+        pattern = regex.compile(b"(?:" + regex.escape(notice.encode()) + b"){e<=%d}" % k)
         out.append((notice.encode(), label, k, pattern, [(o, p.encode()) for o, p in pieces(notice, k)]))
     return out
 
@@ -65,21 +71,57 @@ def _places(text: bytes, part: bytes):
         at = text.find(part, at + 1)
 
 
+def spans(text: bytes, start: int, end: int, notice: bytes, k: int) -> list[tuple[int, int, int]]:
+    """(start, end, edits) of the notice in text[start:end], at most k edits and none in telling words; no two overlap.
+
+    The alignment of least edits for every end, one row for each character of the notice; then the best spans first. A cell
+    is edits * m + (length - start), so that of two starts with as many edits the later one is less."""
+    fixed, inside, whole = set(), set(), set()
+    for t in TELLING.finditer(notice):
+        fixed |= set(range(*t.span()))
+        inside |= set(range(t.start(), t.end() - 1))
+        if t[0].isdigit():
+            whole |= {(t.start(), -1), (t.end() - 1, 1)}
+    n = end - start
+    m, none = n + 2, (len(notice) + 2 * n + 9) * (n + 2)
+    fenced = np.frombuffer((text[start - 1 : start] if start else b" ") + text[start:end] + (text[end : end + 1] or b" "), np.uint8)
+    digit = (fenced >= 48) & (fenced <= 57)
+    chars, steps = fenced[1:-1], np.arange(n + 1, dtype=np.int64) * m
+    row = n - np.arange(n + 1, dtype=np.int64)
+    for i, c in enumerate(notice):
+        same = chars == c
+        for side in (-1, 1):
+            if (i, side) in whole:
+                same = same & ~digit[1 + side : n + 1 + side]
+        new = np.concatenate([[none], row[:-1] + np.where(same, 0, none if i in fixed else m)])
+        if i not in fixed:
+            new = np.minimum(new, row + m)
+        if i not in inside:
+            new = np.minimum.accumulate(new - steps) + steps
+        row = np.minimum(new, none)
+    ends = np.flatnonzero(row < (k + 1) * m)
+    found: list[tuple[int, int, int]] = []
+    for e, b, stop in sorted((int(row[j]) // m, n - int(row[j]) % m, int(j)) for j in ends):
+        at = bisect(found, (b,))
+        if (at == 0 or found[at - 1][1] <= b) and (at == len(found) or stop <= found[at][0]):
+            found.insert(at, (b, stop, e))
+    return [(start + b, start + stop, e) for b, stop, e in found]
+
+
 def fuzzy(text: bytes, notices: dict = NOTICES) -> list[tuple[int, int, str, int, float]]:
     """(start, end, label, edits, score) of the notices found in scanned text; spans of one notice do not overlap."""
     found = []
     for notice, label, k, pattern, seeds in _seeds(tuple(notices.items())):
-        windows = sorted((max(0, at - o - k), at - o + len(notice) + k) for o, part in seeds for at in _places(text, part))
-        done = 0
-        while windows:
-            start, end = windows.pop(0)
-            while windows and windows[0][0] <= end:
-                end = max(end, windows.pop(0)[1])
-            start = max(start, done)
-            while m := pattern.search(text, start, end):
-                n = sum(m.fuzzy_counts)
-                found.append((m.start(), m.end(), label, n, 1 - n / len(notice)))
-                start = done = max(m.end(), m.start() + 1)
+        windows = sorted((max(0, at - o - k), min(len(text), at - o + len(notice) + k)) for o, part in seeds for at in _places(text, part))
+        at = 0
+        while at < len(windows):
+            start, end = windows[at]
+            at += 1
+            while at < len(windows) and windows[at][0] <= end:
+                end = max(end, windows[at][1])
+                at += 1
+            if pattern.search(text, start, end):
+                found += [(a, b, label, n, 1 - n / len(notice)) for a, b, n in spans(text, start, end, notice, k)]
     return sorted(found)
 
 

@@ -106,3 +106,21 @@ def test_fuzzy_finds_what_a_full_search_finds(text):
         got = [x for x in licenses.fuzzy(text.encode(), {notice: label})]
         assert bool(whole) == bool(got)
         assert all(n <= k for _, _, _, n, _ in got)
+
+
+def labels_of(text):
+    return {x[2] for x in licenses.fuzzy(text.encode())}
+
+
+def test_close_licenses_are_told_apart():
+    for v in "23":
+        assert labels_of(f"licensed under the gnu general public license version {v}") == {f"gpl-{v}"}
+        assert labels_of(f"licenced under the gnu generl public license version {v} or later") == {f"gpl-{v}"}
+    for other in ("licensed under cc by sa 4 0", "licensed under the apache license version 1 1", "released under the mpl license", "licensed under the gnu general public license version 21"):
+        assert labels_of(other) == set()
+    assert labels_of("licenced under cc by nc 4 0") == {"cc-by-nc"} and labels_of("licensed under the apache licence version 2 0") == {"apache-2"}
+
+
+def test_a_better_match_behind_does_not_hide_a_notice():
+    got = licenses.fuzzy(b"relesed undr the mit license released under the mit license and relesed under the mit license")
+    assert [(x[2], x[3]) for x in got] == [("mit", 2), ("mit", 0), ("mit", 1)]
