@@ -26,25 +26,47 @@ def slow(texts, least):
     return out
 
 
-@settings(max_examples=120, deadline=None)
-@given(st.lists(st.text("ab", min_size=1, max_size=30).map(str.encode), min_size=1, max_size=9), st.integers(1, 6))
-def test_column_wise_construction(strings, least):
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.text("abc", min_size=1, max_size=24).map(str.encode), st.integers(0, 8), st.integers(0, 2)), min_size=1, max_size=14), st.integers(1, 6), st.integers(1, 5))
+def test_column_wise_construction(rows, least, block_rows):
+    rows = sorted({(g, s, min(lead, len(s) - 1)) for s, lead, g in rows if len(s) >= least})
+    if not rows:
+        return
+    group, strings, lead = (list(x) for x in zip(*rows))
     places = {}
-    for i, s in enumerate(strings):
+    for i, (g, s, before) in enumerate(rows):
         for o in range(len(s) - least + 1):
-            places.setdefault(s[o : o + least], []).append((i, o))
+            places.setdefault((g, o - before, s[o : o + least]), []).append((i, o))
     want = sorted(x for v in places.values() if len(v) > 1 for x in v)
-    got = sorted((i, o) for i, v in enumerate(suffix_dedup.repeated_starts(strings, least)) for o in v.tolist())
-    assert got == want
+    windows = np.array([len(s) - least + 1 for s in strings])
+    hits = suffix_dedup.repeated_windows(strings, np.array(lead), windows, np.array(group), least, block_rows)
+    assert sorted(zip(*(x.tolist() for x in np.nonzero(hits)))) == want
 
 
 def test_segments_cover_every_window_once():
     rng = random.Random(1)
-    for n in (199, 200, 201, 5000, 700_000):
-        text = bytes(rng.choice(b"ab \xc3\xa9") for _ in range(n))
-        first, count, _ = suffix_dedup.segments(text)
-        at = np.concatenate([np.arange(a, a + c) for a, c in zip(first, count)]) if len(first) else np.zeros(0)
-        assert at.tolist() == list(range(max(0, n - 199)))
+    texts = [bytes(rng.choice(b"ab \xc3\xa9") for _ in range(n)) for n in (0, 199, 200, 201, 5000, 1, 150_000, 200)] + [b"x" * 3000]
+    for span in (85, 1):
+        text, first, count, lead, core = suffix_dedup.segments(texts, 200, span)
+        assert count.max() <= span and len(core) == len(text)
+        for i, t in enumerate(texts):
+            own = text == i
+            at = np.concatenate([np.arange(a, a + c) for a, c in zip(first[own], count[own])]) if own.any() else np.zeros(0)
+            assert at.tolist() == list(range(max(0, len(t) - 199)))
+        # every window of a segment holds the core whole
+        assert ((lead >= count - 1) & (lead + 200 - span + 1 <= 200)).all()
+
+
+def test_equal_windows_have_equal_cores():
+    rng = random.Random(2)
+    passage = bytes(rng.choice(b"abcdefgh ") for _ in range(700))
+    texts = [bytes(rng.choice(b"abcdefgh ") for _ in range(rng.randrange(400))) + passage + bytes(rng.choice(b"abcdefgh ") for _ in range(rng.randrange(400))) for _ in range(9)]
+    text, first, count, lead, core = suffix_dedup.segments(texts)
+    seen = {}
+    for t, a, n, before, c in zip(text.tolist(), first.tolist(), count.tolist(), lead.tolist(), core.tolist()):
+        for w in range(n):
+            seen.setdefault(texts[t][a + w : a + w + 200], set()).add((c, before - w))
+    assert all(len(v) == 1 for v in seen.values()) and any(passage[i : i + 200] in seen for i in range(501))
 
 
 def rows_of(df):
