@@ -268,10 +268,14 @@ def scene_of_image(images: DataFrame, scenes: DataFrame, longest: bool = False,
     if keys.limit(max_scenes + 1).count() <= max_scenes:
         pairs = images.join(F.broadcast(keys), F.col("image_id").contains(F.col("scene")))
     else:
-        lengths = [r["n"] for r in keys.select(F.length("scene").alias("n")).distinct().limit(257).collect()]
-        if len(lengths) > 256:
-            raise ValueError("scene keys of more than 256 lengths")
-        parts = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length("image_id") - (n - 1), F.lit(1))), lambda p, n=n: F.substring("image_id", p, F.lit(n))) for n in lengths]))
+        lengths = keys.agg(F.array_sort(F.collect_set(F.length("scene"))).alias("_lengths"))  # one row; as many values as keys have lengths
+        images = images.join(F.broadcast(lengths))
+
+        def substrings(n):
+            at = F.sequence(F.lit(1), F.greatest(F.length("image_id") - n + 1, F.lit(1)))
+            return F.transform(at, lambda p: F.substring(F.col("image_id"), p, n))
+
+        parts = F.flatten(F.transform("_lengths", lambda n: substrings(n)))
         pairs = images.withColumn("scene", F.explode(F.array_distinct(parts))).join(keys, "scene")
     order = F.struct((-F.length("scene") if longest else F.lit(0)).alias("a"), F.col("scene").alias("b"))
     return pairs.groupBy("image_id").agg(F.min_by("scene", order).alias("scene"))
