@@ -5,7 +5,7 @@ from tokenizers import Tokenizer
 from shoebox.llm import decontam, langid, secrets
 from shoebox.llm.queries import vocabulary
 from tests.llm.test_decontam import brute
-from tests.llm.test_secrets import slow_base
+from tests.llm.test_secrets import slow_spans
 from tests.llm.test_simhash import slow_fingerprint, slow_groups
 
 
@@ -24,10 +24,11 @@ def test_run_equals_brute_force(spark):
     leaked = {d for d, _ in brute(list(texts.items()), items)}
     texts = {i: t for i, t in texts.items() if i not in leaked}
     tok = Tokenizer.from_file(vocabulary())
+    model = secrets.fit_markov(docs.filter(docs.doc_id.isin(list(texts))))
     assert set(got) == set(texts) and 0 < len(texts) < docs.count()
     for i, text in texts.items():
         at, out = 0, ""
-        for span in slow_base(text):
+        for span in slow_spans(text, model):
             a, b = map(int, span.split(":")[1:])
             if a >= at:
                 out += text[at:a] + "[REDACTED]"
