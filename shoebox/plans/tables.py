@@ -49,7 +49,7 @@ class Tables:
 
     @cached_property
     def captions(self) -> DataFrame:
-        return self.read("documents").filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("image_id"), F.substring("text", 1, 40).alias("caption"))
+        return self.read("documents").filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("image_id"), F.col("text").alias("caption"))
 
     @cached_property
     def crops(self) -> DataFrame:
@@ -94,7 +94,7 @@ SQL = {
     "tags": "select name, arg_min(tag_type, ord) tag_type from (select p_partkey ord, p_name as name, p_type tag_type from part) group by name",
     "image_tags": "select distinct l_orderkey*10+l_linenumber image_id, p_name as name from lineitem join part on l_partkey = p_partkey",
     "docs": "select doc_id id, source scene, lang tag, doc_id || '.png' file_path from documents",
-    "captions": "select doc_id image_id, substr(text, 1, 40) caption from documents where doc_id % 3 <> 0",
+    "captions": "select doc_id image_id, text caption from documents where doc_id % 3 <> 0",
     "crops": "select doc_id image_id, 'crops/' || doc_id || '.jpg' crop_file_path, quality from labels",
     "emb": "select vec_id id, cast(embedding as double[]) v, label from embeddings",
     "sep": "select id, label, list_transform(u, lambda x: x / sqrt(list_sum(list_transform(u, lambda y: y * y)))) v from (select vec_id id, label, list_transform(cast(embedding as double[]), lambda x, i: x + case when i = label + 1 then 2.0 else 0.0 end) u from embeddings)",

@@ -224,7 +224,7 @@ def cluster_gmm(t):
 
 @query()
 def experiment_grid(t):
-    runs, _ = K.experiment_grid(t.sep, K.grid("fast", 500))
+    runs, _ = K.experiment_grid(t.sep, K.grid("fast", t.emb.count()))
     return runs.drop("parameters")
 
 
