@@ -5,7 +5,8 @@ maximum over the window, and a softmax over the maxima gives the language of the
 cover all of it; its language has the largest mean log-probability. A filter is stored as one table row for each (offset, byte),
 so a convolution is a sum of table look-ups.
 
-Training takes a bounded sample: ``docs_per_language`` documents a language on average, ``windows_per_doc`` windows each.
+Training takes a bounded sample: ``docs_per_language`` documents a language on average, fewer where that would
+be over ``SAMPLE_DOCUMENTS`` in all, and ``windows_per_doc`` windows each. Every language that has a label is learnt.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ WIDTHS = (2, 3, 4)
 FILTERS = 12
 DOCS_PER_LANGUAGE = 400
 WINDOWS_PER_DOC = 3
-MAX_LANGUAGES = 200
+SAMPLE_DOCUMENTS = 80_000
 UNKNOWN = "und"
 MIN_SCORE = 0.4
 
@@ -121,13 +122,14 @@ def sample_windows(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE,
     """Training windows of labelled documents that are not held out: (bytes, label) pairs, bounded in number.
 
     Documents are chosen by the hash of their id and text against a share of the language's count; a window starts at a
-    place given by that hash. At most MAX_LANGUAGES languages, the most frequent, are learnt.
+    place given by that hash. Every language is learnt; with very many of them, each has a smaller share of the sample.
     """
     known = docs.select(F.col("doc_id").cast("long"), "text", "lang").filter("lang is not null and text is not null").filter(~held_out())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return [], []
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, docs_per_language / n))) for k, n in sorted(counts.items())])
+    docs_per_language = max(1, min(docs_per_language, SAMPLE_DOCUMENTS // len(counts)))
+    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, docs_per_language / n))])[F.col("lang")]
     mark = F.xxhash64("doc_id", F.lit("train"))
     chosen = known.withColumn("mark", mark).filter(F.pmod("mark", F.lit(1 << 20)) < share * (1 << 20)).filter(F.col("text").rlike(r"\p{L}"))
     length = F.greatest(F.length("text") - WINDOW, F.lit(1))

@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 
 from shoebox.llm import langid, quality
+from shoebox.llm.common import held_out
 from shoebox.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -58,6 +59,27 @@ def test_language_edge_rows(spark):
     assert {r.lang_pred for r in langid.predict(docs, None).collect()} == {"und"}
 
 
+def test_every_language_is_learnt(spark):
+    docs = spark.range(920).selectExpr("id doc_id", "concat('l', id % 230) lang", "concat('text of ', id % 230) text")
+    x, y = langid.sample_windows(docs, windows_per_doc=1)
+    known = {r.lang for r in docs.filter(~held_out()).select("lang").distinct().collect()}
+    assert set(y) == known and len(known) > 200 and len(x) == len(y) == docs.filter(~held_out()).count()
+
+
+def test_convolution_equals_a_plain_loop():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 256, (4, 20), np.uint8)
+    net = langid.train(x, np.array([0, 1, 0, 1]), ["a", "b"], epochs=2, batch=2)
+    for k, width in enumerate(langid.WIDTHS):
+        want = np.zeros((4, 20 - width + 1, langid.FILTERS))
+        for i in range(4):
+            for at in range(20 - width + 1):
+                hot = np.zeros((width, 256))
+                hot[np.arange(width), x[i, at : at + width]] = 1
+                want[i, at] = np.tensordot(hot, net.tables[k], 2)
+        assert np.allclose(net.convolve(x, k), want, atol=1e-5)
+
+
 def test_windows_cover_the_text():
     for n in (0, 1, 127, 128, 129, 1000):
         text = bytes(np.random.default_rng(n).integers(97, 122, n, np.uint8))
