@@ -1,7 +1,7 @@
 """ISO media containers in a binary column: write, walk, and index without decoding payloads.
 
-``probe`` walks the nested boxes of a file, decodes the sample tables of its first track (``stts stsc stsz stz2 stco co64
-stss``) and returns codec, duration and the byte range of every keyframe. ``wrap`` stores a payload losslessly as raw
+``tracks`` walks the nested boxes of a file, decodes the sample tables of each track (``stts stsc stsz stz2 stco co64
+stss``) and returns codec, duration and the byte range of every keyframe. Movie fragments are refused, not half read. ``wrap`` stores a payload losslessly as raw
 video: 8 x 8 pixel frames of three 8-bit samples (192 bytes a frame), with a sync-sample table.
 """
 
@@ -13,7 +13,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from shoebox.llm.common import map_batches, texts_as_bytes
 
@@ -114,16 +114,33 @@ def _ints(data: memoryview, at: int, n: int, end: int, kind: str = ">u4") -> np.
     return np.frombuffer(data, kind, n, at).astype(np.int64)
 
 
-def probe(content: bytes) -> dict:
-    """Codec, handler, timescale, duration (in its ticks), samples, their byte ranges and the keyframes' numbers.
+def tracks(content: bytes) -> list[dict]:
+    """Codec, handler, timescale, duration (in its ticks), samples, their byte ranges and the keyframes' numbers, by track.
 
     Ranges are arrays ``offset`` and ``size``; ``keys`` has sample indexes from 0 (all, without a sync table).
-    Raises BadMedia for bytes without a complete first track.
+    Raises BadMedia for bytes without a track, with an incomplete one, or with movie fragments.
     """
-    data, found = memoryview(content), {}
+    data, found = memoryview(content), []
     for path, body, end in boxes(data):
-        if path[0] in (b"moov",):
-            found.setdefault(path[-1] if path[-1] != b"trak" or b"trak" not in found else b"trak2", (body, end))
+        if path[0] == b"moof":
+            raise BadMedia("movie fragments are not indexed")
+        if path[0] == b"moov" and path[-1] == b"trak":
+            found.append({})
+        elif path[:2] == (b"moov", b"trak"):
+            found[-1].setdefault(path[-1], (body, end))
+    if not found:
+        raise BadMedia("no track")
+    return [_track(data, f) for f in found]
+
+
+def probe(content: bytes) -> dict:
+    """The first video track of ``tracks``, or the first track where none is video."""
+    found = tracks(content)
+    return next((t for t in found if t["handler"] == "vide"), found[0])
+
+
+def _track(data: memoryview, found: dict) -> dict:
+    """Reads one track, given the places of its boxes by kind."""
     missing = [k.decode() for k in (b"mdhd", b"hdlr", b"stsd", b"stts", b"stsc") if k not in found]
     if missing or not (b"stco" in found or b"co64" in found) or not (b"stsz" in found or b"stz2" in found):
         raise BadMedia("no complete track: " + ",".join(missing))
@@ -144,7 +161,7 @@ def probe(content: bytes) -> dict:
             else:
                 sizes = _ints(data, at + 12, n, end, {8: "u1", 16: ">u2"}[bits])
         else:
-            if fixed and n * fixed > len(data):
+            if fixed and n * fixed > data.nbytes:
                 raise BadMedia("more samples than bytes")
             sizes = np.full(n, fixed, np.int64) if fixed else _ints(data, at + 12, n, end)
         wide = b"co64" in found
@@ -159,7 +176,7 @@ def probe(content: bytes) -> dict:
         before = np.cumsum(sizes) - sizes
         first = np.searchsorted(chunk, chunk)
         offset = places[chunk] + before - before[first]
-        if n and (offset + sizes).max() > len(data):
+        if n and (offset + sizes).max() > data.nbytes:
             raise BadMedia("samples lie beyond the end")
         at, end = found[b"stts"]
         times = _ints(data, at + 8, 2 * count(b"stts"), end).reshape(-1, 2)
@@ -183,37 +200,39 @@ def read_back(content: bytes, info: dict) -> bytes:
 
 
 def media_table(files: DataFrame, content: str = "content") -> DataFrame:
-    """Adds what ``probe`` finds to a table with a binary column.
+    """Adds what ``tracks`` finds to a table with a binary column.
 
     New columns media_codec, media_handler, media_seconds, media_samples, media_keyframes (array of byte ranges
-    start/stop, stop exclusive) and media_error. Null, empty or malformed content gives nulls and the reason in
-    media_error; the other columns pass through, and a column that already has one of these names is replaced.
+    start/stop, stop exclusive) of the track that ``probe`` picks, media_tracks (the same of every track, in order) and
+    media_error. Null, empty or malformed content gives nulls and the reason in media_error; the other columns pass
+    through, and a column that already has one of these names is replaced.
     """
-    out = "media_codec string, media_handler string, media_seconds double, media_samples long, media_keyframes array<struct<start:long,stop:long>>, media_error string"
-    names = [x.split()[0] for x in out.split(", ")]
-    keep = [f for f in files.schema.fields if f.name not in names]
+    fields = {"codec": "string", "handler": "string", "seconds": "double", "samples": "long", "keyframes": "array<struct<start:long,stop:long>>"}
+    track = ",".join(f"{k}:{v}" for k, v in fields.items())
+    added = T.StructType.fromDDL(", ".join(f"media_{k} {v}" for k, v in fields.items()) + f", media_tracks array<struct<{track}>>, media_error string")
+    keep = [f for f in files.schema.fields if f.name not in added.names]
     at = [f.name for f in keep].index(content)
 
+    def row(t: dict) -> dict:
+        starts = t["offset"][t["keys"]]
+        ranges = [{"start": a, "stop": b} for a, b in zip(starts.tolist(), (starts + t["size"][t["keys"]]).tolist(), strict=True)]
+        return dict(zip(fields, (t["codec"], t["handler"], t["duration"] / t["timescale"] if t["timescale"] else None, t["samples"], ranges), strict=True))
+
     def make():
         def step(batch):
-            rows = {k: [] for k in names}
+            rows = []
             for data in batch.column(at).to_pylist():
                 try:
-                    i = probe(data or b"")
-                    ranges = [{"start": a, "stop": b} for a, b in zip(i["offset"][i["keys"]].tolist(), (i["offset"] + i["size"])[i["keys"]].tolist(), strict=True)]
-                    values = [i["codec"], i["handler"], i["duration"] / i["timescale"] if i["timescale"] else None, i["samples"], ranges, None]
+                    all_tracks = [row(t) for t in tracks(data or b"")]
+                    first = next((t for t in all_tracks if t["handler"] == "vide"), all_tracks[0])
+                    rows.append({"media_" + k: v for k, v in first.items()} | {"media_tracks": all_tracks})
                 except BadMedia as error:
-                    values = [None] * 5 + [str(error)]
-                for k, v in zip(names, values, strict=True):
-                    rows[k].append(v)
-            yield {f.name: batch.column(j) for j, f in enumerate(keep)} | rows
+                    rows.append({"media_error": str(error)})
+            yield {f.name: batch.column(j) for j, f in enumerate(keep)} | {k: [r.get(k) for r in rows] for k in added.names}
 
         return step
 
-    import pyspark.sql.types as T
-
-    schema = T.StructType(keep + T.StructType.fromDDL(out).fields)
-    return map_batches(files.select(*[F.col(f"`{f.name}`") for f in keep]), schema, make)
+    return map_batches(files.select(*[F.col(f"`{f.name}`") for f in keep]), T.StructType(keep + added.fields), make)
 
 
 def text_media(docs: DataFrame) -> DataFrame:

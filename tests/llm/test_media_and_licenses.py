@@ -41,6 +41,45 @@ def test_media_whole_table(spark, sf):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
 
 
+def b(kind, *parts):
+    body = b"".join(parts)
+    return (len(body) + 8).to_bytes(4, "big") + kind + body
+
+
+def u4(*values):
+    return b"".join(v.to_bytes(4, "big") for v in values)
+
+
+def hand_track(handler, codec, sizes, chunks, per_chunk, keys=None, wide=False, half_bytes=False):
+    """A trak box written field by field; ``chunks`` are file offsets."""
+    places = b(b"co64", u4(0, len(chunks)), *[c.to_bytes(8, "big") for c in chunks]) if wide else b(b"stco", u4(0, len(chunks)), u4(*chunks))
+    size = b(b"stsz", u4(0, 0, len(sizes)), u4(*sizes))
+    if half_bytes:
+        pairs = [*sizes, 0][: len(sizes) + len(sizes) % 2]
+        size = b(b"stz2", u4(0, 4, len(sizes)), bytes(x << 4 | y for x, y in zip(pairs[::2], pairs[1::2])))
+    sync = b"" if keys is None else b(b"stss", u4(0, len(keys)), u4(*[k + 1 for k in keys]))
+    stbl = b(b"stbl", b(b"stsd", u4(0, 1), b(codec, bytes(8))), b(b"stts", u4(0, 1, len(sizes), 10)), sync, b(b"stsc", u4(0, 1, 1, per_chunk, 1)), size, places)
+    return b(b"trak", b(b"mdia", b(b"mdhd", u4(0, 0, 0, 100, 0, 0)), b(b"hdlr", u4(0, 0), handler, bytes(13)), b(b"minf", stbl)))
+
+
+def test_tracks_keep_their_own_tables(spark):
+    data = bytes(range(200))
+    mdat = b(b"mdat", data)
+    audio = hand_track(b"soun", b"mp4a", [5, 3, 9], [8, 40], 2, half_bytes=True)
+    video = hand_track(b"vide", b"avc1", [20, 30, 40, 10], [60, 150], 2, keys=[0, 2], wide=True)
+    got = media.tracks(mdat + b(b"moov", audio, video))
+    assert [(t["handler"], t["codec"], t["samples"], t["duration"]) for t in got] == [("soun", "mp4a", 3, 30), ("vide", "avc1", 4, 40)]
+    assert [(t["offset"].tolist(), t["size"].tolist(), t["keys"].tolist()) for t in got] == [([8, 13, 40], [5, 3, 9], [0, 1, 2]), ([60, 80, 150, 190], [20, 30, 40, 10], [0, 2])]
+    assert media.read_back(mdat, got[0]) == mdat[8:16] + mdat[40:49]
+    other = hand_track(b"vide", b"avc1", [20, 30], [60], 2)
+    assert [t["keys"].tolist() for t in media.tracks(mdat + b(b"moov", other, video))] == [[0, 1], [0, 2]]
+    with pytest.raises(media.BadMedia):
+        media.tracks(mdat + b(b"moov", audio) + b(b"moof", b(b"traf")))
+    row = media.media_table(spark.createDataFrame([(bytearray(mdat + b(b"moov", audio, video)),)], "content binary")).first()
+    assert (row.media_codec, row.media_seconds, [tuple(k) for k in row.media_keyframes]) == ("avc1", 0.4, [(60, 80), (150, 190)])
+    assert [(t.codec, t.samples, len(t.keyframes)) for t in row.media_tracks] == [("mp4a", 3, 3), ("avc1", 4, 2)]
+
+
 def test_media_table_edge_rows(spark):
     good = bytearray(media.wrap(media.pad(b"x" * 5000)))
     df = spark.createDataFrame([(1, None, "a"), (2, bytearray(), "b"), (3, bytearray(b"junk" * 9), "c"), (4, good, "d")], "id int, content binary, media_codec string")
