@@ -21,7 +21,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shoebox.llm.common import map_batches, texts_as_bytes
 from shoebox.operators.components import connected_components
@@ -53,16 +53,21 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long) for every row; null or blank text has fingerprint zero."""
+def row_mark(docs: DataFrame) -> Column:
+    """MD5 of all of a row's columns: rows of one id are told apart by it, and only wholly equal rows share it."""
+    return F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+
+
+def fingerprints(docs: DataFrame, mark: Column | None = None) -> DataFrame:
+    """(doc_id, mark, fp long) for every row; null or blank text has fingerprint zero. ``mark`` passes through."""
 
     def make():
         def step(batch):
-            yield {"doc_id": batch.column(0), "fp": pa.array([fingerprint(t) for t in texts_as_bytes(batch.column(1))], pa.int64())}
+            yield {"doc_id": batch.column(0), "mark": batch.column(1), "fp": pa.array([fingerprint(t) for t in texts_as_bytes(batch.column(2))], pa.int64())}
 
         return step
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, fp long", make)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), (F.lit(None) if mark is None else mark).cast("string").alias("mark"), "text"), "doc_id long, mark string, fp long", make)
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -278,6 +283,13 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, bucket_rows: int = BUC
     return dealt.mapInArrow(_bucket_links(radius), "u long, v long").distinct()
 
 
+def _groups_of_fingerprints(rows: DataFrame, radius: int, bucket_rows: int) -> DataFrame:
+    """(fp, low, head): each distinct fingerprint of ``rows`` (doc_id, fp), its smallest doc_id, and its group."""
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
+    groups = connected_components(near_links(distinct.select("fp"), radius, bucket_rows))
+    return distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("head"))
+
+
 def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``.
 
@@ -286,10 +298,24 @@ def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS, bucket_rows: in
     component_id is the smallest id of their group, null if the group has none. Repeated rows stay repeated; an empty
     table gives no rows; other columns of ``docs`` are ignored.
     """
-    rows = materialize(fingerprints(docs), "simhash-docs")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
-    groups = connected_components(near_links(distinct.select("fp"), radius, bucket_rows))
-    named = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("head"))
+    rows = materialize(fingerprints(docs).drop("mark"), "simhash-docs")
+    named = _groups_of_fingerprints(rows, radius, bucket_rows)
     lows = named.groupBy("head").agg(F.min("low").alias("component_id"))
     ids = named.join(lows, "head").select("fp", "component_id")
     return rows.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each_group(docs: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """One row of each group of near copies, with all columns of ``docs``.
+
+    It is the row with the smallest doc_id; rows without an id come last, and rows of one id are ordered by the MD5 of
+    all their columns, so that the choice is the same in every run. Of wholly equal rows one stays. Unlike texts that
+    share an id (or have none) are rows of their own: each stays if it heads its group. An empty table gives no rows.
+    """
+    rows = materialize(fingerprints(docs, row_mark(docs)), "simhash-docs")
+    named = _groups_of_fingerprints(rows.select("doc_id", "fp"), radius, bucket_rows).select("fp", "head")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("mark"))
+    heads = rows.groupBy("fp").agg(F.min(order).alias("first")).join(named, "fp").groupBy("head").agg(F.min("first").alias("first"))
+    own = "mark of " + "".join(docs.columns)  # no column of docs has this name
+    marks = heads.select(F.col("first.mark").alias(own))
+    return docs.withColumn(own, row_mark(docs)).join(marks, own, "left_semi").dropDuplicates([own]).select(*[F.col(f"`{c}`") for c in docs.columns])

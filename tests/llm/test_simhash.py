@@ -81,6 +81,19 @@ def test_links_in_split_buckets_and_uneven_bits(spark):
         assert {f: find(f) for f in ids} == want
 
 
+def test_one_row_of_each_group(spark):
+    text, other = "the words of a text that is here", "quite another text with words of its own"
+    rows = [(7, text, "a"), (1, text, "b"), (1, text, "b"), (1, other, "b"), (None, text, "c"), (None, "a text without any id at all", "d"), (None, "a text without any id at all", "e"), (3, "", None), (4, None, "x"), (2, other, "f"), (5, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, mark string")
+    want = None
+    for parts in (1, 5):
+        got = [tuple(r) for r in simhash.one_of_each_group(df.repartition(parts)).collect()]
+        assert sorted((r[0] or 0, r[1] or "") for r in got) == [(0, "a text without any id at all"), (1, other), (1, text), (3, "")]
+        assert want in (None, sorted(map(repr, got)))
+        want = sorted(map(repr, got))
+    assert simhash.one_of_each_group(df.limit(0)).count() == 0
+
+
 def test_allocation_is_the_cheapest():
     costs = [[0, 5, 9, 30], [0, 4, 20, 50], [0, 1, 2, 3]]
     cost, picks = simhash.allocate(costs, 2)
