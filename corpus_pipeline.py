@@ -20,14 +20,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies; rows that repeat a kept id go, too.
-
-    Rows in a group without any id cannot be told apart and stay."""
-    groups = simhash.near_duplicate_groups(docs)
-    firsts = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(firsts, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    nameless = docs.filter("doc_id is null")
-    return kept if nameless.isEmpty() else kept.unionByName(nameless)
+    """Keeps the row with the smallest id of each group of near copies, told apart by all its columns; see simhash."""
+    return simhash.one_of_each_group(docs)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
