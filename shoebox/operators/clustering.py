@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from shoebox.operators import evaluation as E
 from shoebox.operators.components import connected_components
-from shoebox.operators.knn import similarity_edges
+from shoebox.operators.knn import pairs_within, similarity_edges
 from shoebox.session import materialize
 
 
@@ -59,15 +59,13 @@ def auto_k(rows: DataFrame, max_k: int = 20, seed: int = 42) -> DataFrame:
     return rows.sparkSession.createDataFrame(out, "k int, inertia double, silhouette double, chosen boolean")
 
 
-def _all_edges(rows: DataFrame, threshold: float, depth: int) -> DataFrame:
-    return materialize(similarity_edges(rows, threshold, depth), "edges")
+def dbscan(rows: DataFrame, eps: float, min_samples: int, metric: str = "cosine") -> DataFrame:
+    """Density clusters of unit vectors under cosine distance, or of any vectors under Euclidean distance (``l2``).
 
-
-def dbscan(rows: DataFrame, eps: float, min_samples: int, depth: int | None = None) -> DataFrame:
-    """Density clusters of unit vectors under cosine distance; a row counts in its own neighbourhood.
-
-    A border row goes to the reachable cluster with the smallest id; clusters are numbered by their smallest row."""
-    edges = _all_edges(rows, 1 - eps, depth or rows.count()).select("seed", "id")
+    A row counts in its own neighbourhood. A border row goes to the reachable cluster with the smallest id; clusters are
+    numbered by their smallest row."""
+    near = pairs_within(rows, 1 - eps) if metric == "cosine" else pairs_within(rows, eps * eps, "l2")
+    edges = materialize(near.select("seed", "id"), "edges")
     core = materialize(edges.groupBy("seed").agg(F.count("*").alias("n")).filter(F.col("n") >= min_samples).select("seed"), "core")
     inner = edges.join(core, "seed").join(core.select(F.col("seed").alias("id")), "id")
     parts = materialize(connected_components(inner, "seed", "id"), "dense")
@@ -82,14 +80,42 @@ def numbered_clusters(rows: DataFrame, parts: DataFrame) -> DataFrame:
     return rows.select("id").join(parts.join(heads, "component").select("id", "cluster_id"), "id", "left").select("id", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"))
 
 
-def leader(rows: DataFrame, threshold: float, min_cluster_size: int = 2, depth: int = 100, simple: bool = False, most_rows: int = 1_000_000) -> DataFrame:
+def _leader_rounds(edges: DataFrame, min_cluster_size: int, simple: bool) -> DataFrame:
+    """(id, component) of the leader rule by joins: in each round every seed decides that comes first at all rows it may take.
+
+    The smallest undecided seed always does, so each round decides some; what a decision depends on lies in earlier rounds."""
+    seeds = edges.select("seed").distinct()
+    free = materialize(edges.select("seed", "id").unionByName(seeds.select("seed", F.col("seed").alias("id"))).distinct(), "leader-free")
+    found = []
+    while not free.isEmpty():
+        first = free.groupBy("id").agg(F.min("seed").alias("first"))
+        ready = free.join(first, "id").groupBy("seed").agg(F.every(F.col("first") == F.col("seed")).alias("ready"), F.count("*").alias("n"))
+        ready = materialize(ready.filter("ready").select("seed", "n"), "leader-ready")
+        taken = materialize(free.join(ready.filter(F.col("n") >= min_cluster_size), "seed").select("id", F.col("seed").alias("component")), "leader-taken")
+        found.append(taken)
+        noise = ready.filter(F.col("n") < min_cluster_size).select(F.col("seed").alias("id"))
+        gone = taken.select("id") if simple else taken.select("id").unionByName(noise)
+        decided = ready.select("seed").unionByName(taken.select(F.col("id").alias("seed"))).distinct()
+        free = materialize(free.join(decided, "seed", "left_anti").join(gone, "id", "left_anti").select("seed", "id"), "leader-free")
+    if not found:
+        return edges.sparkSession.createDataFrame([], "id long, component long")
+    paths = [f for t in found for f in t.inputFiles()]
+    return edges.sparkSession.read.schema(found[0].schema).parquet(*paths)
+
+
+def leader(rows: DataFrame, threshold: float, min_cluster_size: int = 2, depth: int = 100, simple: bool = False, most_rows: int = 100_000) -> DataFrame:
     """Seeds in order of id take their unassigned neighbours; too few make the seed noise, which leaves (``simple``: which a
-    later seed may still take). A seed touches its neighbours only, so the components of the edge table are independent."""
-    edges = _all_edges(rows, threshold, depth)
+    later seed may still take). A seed touches its neighbours only, so the components of the edge table are independent:
+    those of up to ``most_rows`` rows are walked in a task each, larger ones are settled in rounds of joins, alike."""
+    edges = materialize(similarity_edges(rows, threshold, depth), "edges")
     parts = materialize(connected_components(edges, "seed", "id"), "leader-parts")
-    worst = parts.groupBy("component").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if worst > most_rows:
-        raise ValueError(f"one component has {worst} rows; raise the threshold")
+    large = parts.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > most_rows).select("component")
+    if large.isEmpty():
+        in_rounds = None
+    else:
+        nodes = parts.join(large, "component", "left_semi").select(F.col("node").alias("seed"))
+        in_rounds = _leader_rounds(edges.join(nodes, "seed", "left_semi"), min_cluster_size, simple)
+        parts = parts.join(large, "component", "left_anti")
     tagged = edges.join(parts.select(F.col("node").alias("seed"), "component"), "seed").select("component", "seed", "id", "score")
 
     def walk(table: pa.Table) -> pa.Table:
@@ -109,7 +135,8 @@ def leader(rows: DataFrame, threshold: float, min_cluster_size: int = 2, depth:
         got = [(i, h) for i, h in head.items() if h is not None]
         return pa.table({"id": pa.array([i for i, _ in got], pa.int64()), "component": pa.array([h for _, h in got], pa.int64())})
 
-    return numbered_clusters(rows, tagged.groupBy("component").applyInArrow(walk, "id long, component long"))
+    walked = tagged.groupBy("component").applyInArrow(walk, "id long, component long")
+    return numbered_clusters(rows, walked if in_rounds is None else walked.unionByName(in_rounds))
 
 
 def pca_2d(rows: DataFrame) -> DataFrame:

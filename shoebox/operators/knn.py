@@ -56,6 +56,32 @@ def knn_join(queries: DataFrame, rows: DataFrame, k: int = 50, metric: str = "ip
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy(order, "id"))).filter(F.col("rank") <= k)
 
 
+def pairs_within(rows: DataFrame, bound: float, metric: str = "ip", block_rows: int = 2048) -> DataFrame:
+    """(seed, id, score) of all pairs of rows, both ways and each row with itself, whose inner product is at least ``bound``,
+    or whose squared distance (``l2``) is at most that.
+
+    Each pair of blocks is one matrix product that returns only what is within the bound: no ranking, nothing shuffled behind it."""
+    n = max(1, -(-rows.count() // block_rows))
+    other = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other")
+    dealt = _block(rows, n, "own").select("own", "id", "v", other).select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "v")
+
+    def within(table: pa.Table) -> pa.Table:
+        own, ids, x = table["own"].to_numpy(), table["id"].to_numpy(), np.stack(table["v"].to_numpy())
+        first = own == table["a"][0].as_py()
+        second = first if table["a"][0] == table["b"][0] else ~first
+        s = x[first] @ x[second].T
+        if metric == "l2":
+            norms = (x * x).sum(1)
+            s = np.maximum(norms[first][:, None] + norms[second][None, :] - 2 * s, 0)
+        i, j = np.nonzero(s >= bound if metric == "ip" else s <= bound)
+        seed, other_id, score = ids[first][i], ids[second][j], s[i, j]
+        if second is not first:
+            seed, other_id, score = np.append(seed, other_id), np.append(other_id, seed), np.append(score, score)
+        return pa.table({"seed": pa.array(seed, pa.int64()), "id": pa.array(other_id, pa.int64()), "score": pa.array(score, pa.float64())})
+
+    return dealt.groupBy("a", "b").applyInArrow(within, "seed long, id long, score double")
+
+
 def knn_ivf(queries: DataFrame, rows: DataFrame, k: int = 30, cells: int | None = None, probes: int = 8, seed: int = 42) -> DataFrame:
     """Approximate (target, id, score, rank): rows filed by k-means cell, each query against its ``probes`` nearest cells.
 

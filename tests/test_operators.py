@@ -94,8 +94,15 @@ def test_leader(spark, t, simple):
     u = V.with_unit_vectors(t.emb)
     got = {r.id: r.cluster_id for r in K.leader(u, 0.3, 4, simple=simple).collect()}
     assert got == slow_leader(*vecs(u), 0.3, 4, simple)
-    with pytest.raises(ValueError):
-        K.leader(u, 0.2, 2, most_rows=10)
+
+
+@pytest.mark.parametrize("simple", [False, True])
+def test_leader_in_rounds(spark, simple):
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(c, 0.35, (45, 3)) for c in ((1, 0, 0), (0, 1, 0), (0, 0, 1))])
+    u = frame(spark, (x / np.linalg.norm(x, axis=1, keepdims=True))[rng.permutation(135)])
+    want = slow_leader(*vecs(u), 0.9, 6, simple)
+    assert {r.id: r.cluster_id for r in K.leader(u, 0.9, 6, simple=simple, most_rows=2).collect()} == want and -1 in want.values() and len(set(want.values())) > 3
 
 
 def test_dbscan_border_noise_and_hot_cluster(spark):
@@ -104,6 +111,18 @@ def test_dbscan_border_noise_and_hot_cluster(spark):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     got = [r.cluster_id for r in K.dbscan(frame(spark, x), 0.1, 4).orderBy("id").collect()]
     assert got == [0] * 80 + [1] * 15 + [-1]
+    plain = [r.cluster_id for r in K.dbscan(frame(spark, x * 3), 1.0, 4, "l2").orderBy("id").collect()]
+    assert plain == got
+
+
+def test_pairs_within_equals_all_pairs(spark):
+    ids, x = np.arange(90), np.random.default_rng(8).normal(size=(90, 4))
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    for metric, near in (("ip", x @ x.T >= 1.5), ("l2", d <= 1.5)):
+        for size in (2048, 13):
+            got = [(r.seed, r.id) for r in N.pairs_within(frame(spark, x), 1.5, metric, size).collect()]
+            assert sorted(got) == [(i, j) for i in ids for j in ids if near[i, j]]
+    assert N.pairs_within(frame(spark, x).limit(0), 1.0).count() == 0
 
 
 def test_mixture_and_auto_k_find_planted_clusters(spark, t):
