@@ -82,20 +82,29 @@ def pairs_within(rows: DataFrame, bound: float, metric: str = "ip", block_rows:
     return dealt.groupBy("a", "b").applyInArrow(within, "seed long, id long, score double")
 
 
-def knn_ivf(queries: DataFrame, rows: DataFrame, k: int = 30, cells: int | None = None, probes: int = 8, seed: int = 42) -> DataFrame:
+def knn_ivf(queries: DataFrame, rows: DataFrame, k: int = 30, cells: int | None = None, probes: int | None = None, seed: int = 42, metric: str = "ip", recall: float = 0.95, sample: int = 256) -> DataFrame:
     """Approximate (target, id, score, rank): rows filed by k-means cell, each query against its ``probes`` nearest cells.
 
-    min(100, max(1, n // 39)) cells unless given. Scores are exact inner products."""
+    min(100, max(1, n // 39)) cells unless given. Without ``probes``, as many as find the share ``recall`` of the exact
+    neighbours of ``sample`` rows, chosen by the hash of their ids. Scores are exact inner products or squared distances (``l2``)."""
     n = rows.count()
     cells = cells or min(100, max(1, n // 39))
     data = rows.select("id", "v", array_to_vector(F.col("v").cast("array<double>")).alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="features", predictionCol="cell").fit(data)
     filed = model.transform(data).select("id", "v", "cell")
     centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])  # at most 100 vectors
-    near = F.slice(F.array_sort(F.transform(centres, lambda c, i: F.struct(V.squared_distance(c, F.col("v")).alias("d"), i.alias("cell")))), 1, probes)
-    asked = queries.select(F.col("id").alias("target"), F.col("v").alias("q"), F.explode(F.transform(near, lambda x: x["cell"])).alias("cell"))
-    scored = asked.join(filed, "cell").filter("id <> target").select("target", "id", V.dot(F.col("v"), F.col("q")).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
+    near = F.transform(F.array_sort(F.transform(centres, lambda c, i: F.struct(V.squared_distance(c, F.col("v")).alias("d"), i.alias("cell")))), lambda x: x["cell"])
+    if probes is None:
+        some = rows.select("id", "v").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample)
+        true = knn_join(some, rows, k + 1, metric).filter("id <> target").select("target", "id")
+        places = true.join(some.select(F.col("id").alias("target"), near.alias("near")), "target").join(filed.select("id", "cell"), "id")
+        found = places.select(F.array_position("near", F.col("cell")).alias("place")).agg(F.expr(f"percentile_disc({recall}) within group (order by place)"))
+        probes = int(found.first()[0] or cells)
+    asked = queries.select(F.col("id").alias("target"), F.col("v").alias("q"), F.explode(F.slice(near, 1, probes)).alias("cell"))
+    score = V.dot(F.col("v"), F.col("q")) if metric == "ip" else V.squared_distance(F.col("v"), F.col("q"))
+    scored = asked.join(filed, "cell").filter("id <> target").select("target", "id", score.alias("score"))
+    order = F.desc("score") if metric == "ip" else F.asc("score")
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy(order, "id"))).filter(F.col("rank") <= k)
 
 
 def topk_in_cluster(rows: DataFrame, labels: DataFrame, targets: DataFrame, k: int = 30) -> DataFrame:

@@ -130,7 +130,7 @@ def knn_join(t):
 @query()
 def knn_ivf(t):
     """Approximate by design; the tests measure its recall against the exact search."""
-    return N.knn_ivf(_unit(t).filter("id % 100 = 0"), _unit(t), 10, probes=8)
+    return N.knn_ivf(_unit(t).filter("id % 100 = 0"), _unit(t), 10)
 
 
 @query("emb", MULTI + "select id, round(sum(score * pow(0.9::double, position)), 6) score from f group by id order by sum(score * pow(0.9::double, position)) desc, id limit 30")

@@ -73,6 +73,19 @@ def test_ivf_recall(spark, t):
     assert len(got & exact) >= 0.9 * len(got) and len(got) == 10 * q.count()
 
 
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+def test_ivf_recall_of_the_registered_search(spark, metric):
+    big = Tables(spark, "/root/testdata/sf0.1")
+    u = V.with_unit_vectors(big.emb) if metric == "ip" else big.emb
+    ids, x = vecs(u)
+    near = x @ x.T if metric == "ip" else -((x * x).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * x @ x.T)
+    np.fill_diagonal(near, -np.inf)
+    asked = np.flatnonzero(ids % 100 == 0)
+    exact = {(int(ids[i]), int(ids[j])) for i in asked for j in np.argsort(-near[i], kind="stable")[:10]}
+    got = {(r.target, r.id) for r in N.knn_ivf(u.filter("id % 100 = 0"), u, 10, metric=metric).collect()}
+    assert len(got & exact) >= 0.9 * len(exact)
+
+
 def slow_leader(ids, x, threshold, least, simple):
     sims, head = x @ x.T, {}
     for i in range(len(ids)):
