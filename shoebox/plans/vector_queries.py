@@ -166,16 +166,17 @@ def rerank_pose(t):
     return out.select("id", *[r6(F.col(c)).alias(c) for c in ("score", "pose_score", "final_score")])
 
 
-@query("emb", f"with u as ({UNIT}) select a.id target, b.id, round({dot('a.v', 'b.v')}, 6) score, cast(row_number() over (partition by a.id order by {dot('a.v', 'b.v')} desc, b.id) as int) rank from u a join u b on a.label = b.label and a.id <> b.id where a.id % 50 = 0 qualify rank <= 10")
+@query("emb", f"with u as ({UNIT}) select a.id target, b.id, round({dot('a.v', 'b.v')}, 6) score, cast(row_number() over (partition by a.id order by {dot('a.v', 'b.v')} desc, b.id) as int) rank from u a join u b on a.label = b.label and a.id <> b.id where a.id % 100 = 0 qualify rank <= 10")
 def topk_in_cluster(t):
     labels = t.emb.select("id", F.col("label").alias("cluster_id"))
-    return N.topk_in_cluster(_unit(t), labels, t.emb.filter("id % 50 = 0"), 10).select("target", "id", r6(F.col("score")).alias("score"), "rank")
+    return N.topk_in_cluster(_unit(t), labels, t.emb.filter("id % 100 = 0"), 10).select("target", "id", r6(F.col("score")).alias("score"), "rank")
 
 
-@query("emb", f"with u as ({UNIT}), f as (select a.id target, b.id, {dot('a.v', 'b.v')} score, cast(row_number() over (partition by a.id order by {dot('a.v', 'b.v')} desc, b.id) as int) rank from u a, u b where a.id < 40 qualify rank <= 100), p as (select id target, id + 1 id from u where id < 39 union select id + 1, id from u where id < 39) select p.target, p.id, rank, round(score, 6) score, coalesce(rank <= 50, false) found from p left join f using (target, id)")
+@query("emb", f"with u as ({UNIT}), f as (select a.id target, b.id, {dot('a.v', 'b.v')} score, cast(row_number() over (partition by a.id order by {dot('a.v', 'b.v')} desc, b.id) as int) rank from u a, u b where a.id % 100 < 2 qualify rank <= 100), p as (select id target, id + 1 id from u where id % 100 = 0 union select id + 1, id from u where id % 100 = 0) select p.target, p.id, rank, round(score, 6) score, coalesce(rank <= 50, false) found from p left join f using (target, id)")
 def pair_rank(t):
-    pairs = t.emb.filter("id < 39").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    found = N.knn_join(_unit(t).filter("id < 40"), _unit(t), 100)
+    """Each hundredth row and the one after it, known to belong together."""
+    pairs = t.emb.filter("id % 100 = 0").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    found = N.knn_join(_unit(t).filter("id % 100 < 2"), _unit(t), 100)
     return N.pair_rank(pairs, found, 50).withColumn("score", r6(F.col("score")))
 
 
