@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shoebox.llm import bpe, decontam, langid, licenses, media, quality, secrets, simhash, suffix_dedup, token_scan
+from shoebox.llm import bisectors, bpe, decontam, langid, licenses, media, periods, quality, rank_bpe, secrets, simhash, suffix_dedup, token_scan
 from shoebox.llm.common import table
 
 
@@ -59,5 +59,24 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_suffix_dedup, op3_media_columns, op4_token_counts, op5_language_id, op6_bpe_encoding, op7_license_scans, op8_decontamination, op9_simhash_near_dedup, op10_secret_scans)}
-ORACLE: dict[str, str] = {}
+def op11_bisector_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bisectors.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def ranks() -> tuple[str, str]:
+    """Path of the same vocabulary as ranks, and the pattern that splits text before the merges."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op12_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_bpe.encoding_digests(table(spark, sf_dir, "documents"), *ranks())
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.run_report(periods.periodic_runs(periods.plant_periods(table(spark, sf_dir, "documents"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_suffix_dedup, op3_media_columns, op4_token_counts, op5_language_id, op6_bpe_encoding, op7_license_scans, op8_decontamination, op9_simhash_near_dedup, op10_secret_scans, op11_bisector_clustering, op12_rank_bpe, op13_periodic_runs)}
+ORACLE: dict[str, str] = {"op11_bisector_clustering": bisectors.oracle()}
