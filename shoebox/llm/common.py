@@ -15,6 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have, in either case."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def columns_of(df: DataFrame) -> list:
+    """All columns, whatever characters their names have."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
 def held_out(doc_id="doc_id"):
     """True where crc32(doc_id as text) mod 4 is 2; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
@@ -31,7 +44,8 @@ def map_batches(df: DataFrame, schema: str | StructType, make: Callable[[], Call
 
     kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     target = to_arrow_schema(kind)
-    return df.mapInArrow(run, kind)
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # names with dots or backticks are not taken as they are
+    return plain.mapInArrow(run, kind)
 
 
 def texts_as_bytes(column: pa.Array) -> list[bytes]:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shoebox.llm.common import map_batches, texts_as_bytes
+from shoebox.llm.common import columns_of, free_name, map_batches, texts_as_bytes
 
 BLOCK_ITEMS = 256
 RANK = 256
@@ -314,7 +314,7 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows whose text contains a benchmark item; same columns.
 
     Rows are told apart by id and text, so a null or repeated id drops nothing else."""
+    own = free_name(docs, "row_key")
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
-    marked = docs.withColumn("_key", key)
-    leaked = leaks(marked.select(F.col("_key").alias("doc_id"), "text"), benchmark, **options).select(F.col("doc_id").alias("_key")).distinct()
-    return marked.join(leaked, "_key", "left_anti").select(*docs.columns)
+    leaked = leaks(docs.select(key.alias("doc_id"), "text"), benchmark, **options).select(F.col("doc_id").alias(own)).distinct()
+    return docs.withColumn(own, key).join(leaked, own, "left_anti").select(*columns_of(docs))

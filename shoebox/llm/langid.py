@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from shoebox.llm.common import held_out, map_batches, texts_as_bytes
+from shoebox.llm.common import columns_of, free_name, held_out, map_batches, texts_as_bytes
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -193,29 +193,35 @@ def _classify_batch(texts: list, net: Network | None, most: int = 2048):
     return out
 
 
-def predict(docs: DataFrame, net: Network | None) -> DataFrame:
-    """Adds held_out, lang_pred and score to ``docs``; existing columns of these names are replaced.
+def predict(docs: DataFrame, net: Network | None, names: tuple[str, str, str] = ("held_out", "lang_pred", "score")) -> DataFrame:
+    """Adds held_out, lang_pred and score to ``docs``, under other ``names`` if given; existing columns of these names are replaced.
 
     lang_pred is ``und`` with score 0 where the text is null or has no letter, or where nothing was learnt. Other columns
     and repeated rows pass through; an empty table gives no rows.
     """
-    keep = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
-    rows = docs.select(*keep, held_out().alias("held_out"))
+    rows = docs.select(*[c for c, name in zip(columns_of(docs), docs.columns) if name.lower() not in names], held_out().alias(names[0]))
     at = rows.columns.index("text")
     from pyspark.sql import types as T
 
-    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField(names[1], T.StringType()), T.StructField(names[2], T.DoubleType())])
 
     def make():
         def step(batch):
             got = _classify_batch(batch.column(at).to_pylist(), net)
-            yield {f.name: batch.column(j) for j, f in enumerate(schema.fields[:-2])} | {"lang_pred": [g[0] for g in got], "score": pa.array([g[1] for g in got], pa.float64())}
+            yield {f.name: batch.column(j) for j, f in enumerate(schema.fields[:-2])} | {names[1]: [g[0] for g in got], names[2]: pa.array([g[1] for g in got], pa.float64())}
 
         return step
 
     return map_batches(rows, schema, make)
 
 
+def keep_known(docs: DataFrame, least: float = MIN_SCORE) -> DataFrame:
+    """``docs`` without the rows whose language is ``und`` or scored under ``least``; same columns, whatever their names."""
+    held, lang, score = (free_name(docs, c) for c in ("held_out", "lang_pred", "score"))
+    rows = predict(docs, fit(docs), (held, lang, score))
+    return rows.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*columns_of(docs))
+
+
 def language_ids(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row, learnt from its rows that are labelled and not held out."""
     net = fit(docs)

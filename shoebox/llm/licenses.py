@@ -38,8 +38,8 @@ NOTICES = {
 #: One edit is allowed for every so many characters of a notice, one at least.
 CHARS_AN_EDIT = 12
 
-#: Words of a notice in which no edit is allowed, as one edit there makes another license.
-TELLING = regex.compile(rb"(?<=\bversion )\d+|\b(?:nc|sa|mit)\b")
+#: Words of a notice, or their first letters, in which no edit is allowed, as one edit there makes another license.
+TELLING = regex.compile(rb"(?<=\bversion )\d+|\b(?:nc|sa|mit)\b|\bnon(?=commercial)")
 
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -130,8 +130,10 @@ def scan(text: bytes, phrases: dict = PHRASES, notices: dict = NOTICES) -> dict:
     words = text.translate(_WORDS).split()
     line = b" ".join(words)
     fenced = b" " + line + b" "
-    base = sorted((fenced.count(b" ", 0, at), label) for phrase, label in phrases.items() for at in _places(fenced, b" " + phrase.encode() + b" "))
-    return {"n_words": len(words), "base": base, "fuzzy": [(line.count(b" ", 0, a), line.count(b" ", 0, max(a, b - 1)) + 1, label, n, s) for a, b, label, n, s in fuzzy(line, notices)]}
+    blanks = np.flatnonzero(np.frombuffer(fenced, np.uint8) == 32)
+    before = lambda at: int(np.searchsorted(blanks, at))  # noqa: E731  blanks before a place of the fenced line
+    base = sorted((before(at), label) for phrase, label in phrases.items() for at in _places(fenced, b" " + phrase.encode() + b" "))
+    return {"n_words": len(words), "base": base, "fuzzy": [(before(a + 1) - 1, before(max(a, b - 1) + 1), label, n, s) for a, b, label, n, s in fuzzy(line, notices)]}
 
 
 def license_scan(docs: DataFrame, phrases: dict | None = None, notices: dict | None = None) -> DataFrame:

@@ -169,14 +169,17 @@ def _track(data: memoryview, found: dict) -> dict:
         places = _ints(data, at + 8, count(b"co64" if wide else b"stco"), end, ">u8" if wide else ">u4")
         at, end = found[b"stsc"]
         runs = _ints(data, at + 8, 3 * count(b"stsc"), end).reshape(-1, 3)
-        per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(places) + 1)))[: len(places)]
-        chunk = np.repeat(np.arange(len(per_chunk)), per_chunk)[:n]
+        # no field says more chunks or samples than there are: what a table may claim is cut before anything is repeated
+        firsts = np.append(np.minimum(runs[:, 0], len(places) + 1), len(places) + 1)
+        per_chunk = np.repeat(np.minimum(runs[:, 1], n), np.diff(firsts))
+        per_chunk = np.diff(np.minimum(np.cumsum(per_chunk), n), prepend=0)
+        chunk = np.repeat(np.arange(len(per_chunk)), per_chunk)
         if len(chunk) < n:
             raise BadMedia("chunks hold fewer samples than listed")
         before = np.cumsum(sizes) - sizes
         first = np.searchsorted(chunk, chunk)
         offset = places[chunk] + before - before[first]
-        if n and (offset + sizes).max() > data.nbytes:
+        if n and (offset.min() < 0 or (offset + sizes).max() > data.nbytes):
             raise BadMedia("samples lie beyond the end")
         at, end = found[b"stts"]
         times = _ints(data, at + 8, 2 * count(b"stts"), end).reshape(-1, 2)

@@ -26,7 +26,7 @@ PART, LONG_SPACE = 1 << 16, 1 << 12
 BATCH_IDS = 1 << 21
 
 #: What the pattern's \s matches.
-_SPACE = "\t-\r \x85\xa0  -     　"
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUN = re.compile(f"[{_SPACE}]{{{LONG_SPACE},}}")
 _SAFE = re.compile(f"(?<=[^{_SPACE}])(?=[{_SPACE}])")
 

@@ -16,6 +16,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shoebox.llm.common import columns_of, free_name
 from shoebox.session import materialize
 
 #: The base rules (kind, pattern, group whose length counts, least length), in the order of kinds.
@@ -193,8 +194,8 @@ def redact(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS, mark: str
 
     Overlapping spans give one mark. Texts without spans, null ones included, are unchanged.
     """
-    names = docs.columns
-    found = with_spans(docs, model or fit_markov(docs, sample_documents), "_base_spans", "_secret_spans")
+    base, spans = free_name(docs, "base_spans"), free_name(docs, "secret_spans")
+    found = with_spans(docs, model or fit_markov(docs, sample_documents), base, spans)
     text = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -202,8 +203,8 @@ def redact(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS, mark: str
         kept = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))
         return F.when(x["start"] >= acc["at"], F.struct(x["stop"].alias("at"), kept.alias("out"))).otherwise(F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), acc["out"].alias("out")))
 
-    clean = F.aggregate(F.col("_secret_spans"), start, cut, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    out = found.withColumn("text", F.when(F.size("_secret_spans") > 0, clean).otherwise(text))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.size("_secret_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*names)
+    clean = F.aggregate(F.col(spans), start, cut, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    out = found.withColumn("text", F.when(F.size(spans) > 0, clean).otherwise(text))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*columns_of(docs))

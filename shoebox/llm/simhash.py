@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shoebox.llm.common import map_batches, texts_as_bytes
+from shoebox.llm.common import columns_of, free_name, map_batches, texts_as_bytes
 from shoebox.operators.components import connected_components
 from shoebox.session import materialize
 
@@ -55,7 +55,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 def row_mark(docs: DataFrame) -> Column:
     """MD5 of all of a row's columns: rows of one id are told apart by it, and only wholly equal rows share it."""
-    return F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+    return F.md5(F.to_json(F.struct(*columns_of(docs))))
 
 
 def fingerprints(docs: DataFrame, mark: Column | None = None) -> DataFrame:
@@ -316,6 +316,6 @@ def one_of_each_group(docs: DataFrame, radius: int = RADIUS, bucket_rows: int =
     named = _groups_of_fingerprints(rows.select("doc_id", "fp"), radius, bucket_rows).select("fp", "head")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("mark"))
     heads = rows.groupBy("fp").agg(F.min(order).alias("first")).join(named, "fp").groupBy("head").agg(F.min("first").alias("first"))
-    own = "mark of " + "".join(docs.columns)  # no column of docs has this name
+    own = free_name(docs, "mark")
     marks = heads.select(F.col("first.mark").alias(own))
-    return docs.withColumn(own, row_mark(docs)).join(marks, own, "left_semi").dropDuplicates([own]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.withColumn(own, row_mark(docs)).join(marks, own, "left_semi").dropDuplicates([own]).select(*columns_of(docs))

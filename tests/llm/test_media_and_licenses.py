@@ -163,3 +163,41 @@ def test_close_licenses_are_told_apart():
 def test_a_better_match_behind_does_not_hide_a_notice():
     got = licenses.fuzzy(b"relesed undr the mit license released under the mit license and relesed under the mit license")
     assert [(x[2], x[3]) for x in got] == [("mit", 2), ("mit", 0), ("mit", 1)]
+
+
+def test_a_table_that_claims_more_than_there_is_costs_nothing(spark):
+    mdat = b(b"mdat", bytes(range(200)))
+    video = hand_track(b"vide", b"avc1", [20, 30, 40, 10], [60, 150], 2)
+    run = b(b"stsc", u4(0, 1, 1, 2, 1))
+    assert run in video
+    for first, count in ((1, 2**32 - 1), (2**32 - 1, 2), (2**32 - 1, 2**32 - 1), (0, 2**32 - 1)):
+        content = mdat + b(b"moov", video.replace(run, b(b"stsc", u4(0, 1, first, count, 1))))
+        try:
+            assert [t["samples"] for t in media.tracks(content)] == [4]
+        except media.BadMedia:
+            pass
+    long = mdat + b(b"moov", video.replace(run, b(b"stsc", u4(0, 1, 1, 2**32 - 1, 1))))
+    rows = media.media_table(spark.createDataFrame([(bytearray(long),), (bytearray(mdat + b(b"moov", video)),)], "content binary")).collect()
+    assert [r.media_samples for r in rows][1] == 4 and all(r.media_samples == 4 or r.media_error for r in rows)
+    away = mdat + b(b"moov", hand_track(b"vide", b"avc1", [20, 30], [2**64 - 60], 2, wide=True))
+    with pytest.raises(media.BadMedia):
+        media.tracks(away)
+
+
+def test_a_license_of_opposite_meaning_is_not_reported():
+    for other in ("creative commons attribution commercial", "creative commons attribution no commercial"):
+        assert labels_of(other) == set()
+    for same in ("creative commons attribution noncommercial", "creative commons attribution non commercial", "creative comons attribution noncomercial", "creative commons attribution share alike"):
+        assert len(labels_of(same)) == 1
+
+
+def test_word_numbers_of_many_places():
+    rng = __import__("random").Random(3)
+    parts = [*licenses.PHRASES, *licenses.NOTICES, "word", "two words", "relesed under the mit license"]
+    text = " ".join(rng.choice(parts) for _ in range(3000))
+    got = licenses.scan(text.encode())
+    words = text.split()
+    assert got["base"] == slow_base(words)
+    for first, stop, label, edits, _ in got["fuzzy"]:
+        assert edits > 0 or " ".join(words[first:stop]) in [n for n, of in licenses.NOTICES.items() if of == label]
+    assert any(x[3] == 0 for x in got["fuzzy"]) and any(x[3] > 0 for x in got["fuzzy"])

@@ -50,3 +50,20 @@ def test_stages_on_edge_rows(spark):
     clean = {r.doc_id: r for r in corpus_pipeline.no_secrets(spark, docs, "").collect()}
     assert clean[5].text == "[REDACTED] in a text" and clean[5].n_chars == 20 and clean[1].text is None and clean[3].n_chars == 1
     assert corpus_pipeline.token_digests(spark, docs.limit(0), "").count() == 0
+
+
+def test_stages_leave_every_column_of_the_user(spark):
+    import corpus_pipeline
+    from shoebox.llm.common import free_name
+
+    names = ["_key", "row_key", "row_key_", "base_spans", "secret_spans", "_base_spans", "_secret_spans", "mark", "Score", "held_out", "lang_pred", "fp", "key", "a.b", "x`y"]
+    rows = [(i, " ".join(f"{w}{i}" for w in "the words of one text after another as they stand here with some more".split()) + f" password=abcdefgh{i}", "en", "s", 50, *[f"{n}{i}" for n in names]) for i in range(8)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *names])
+    benchmark = spark.createDataFrame([(1, "an item that is in no document of all these"), (2, rows[3][1])], "item_id long, text string")
+    want = {r[0]: r[5:] for r in rows}
+    stages = [lambda d: corpus_pipeline.known_language(spark, d, ""), lambda d: corpus_pipeline.one_of_each_group(spark, d, ""), lambda d: decontam.drop_leaked(d, benchmark), lambda d: corpus_pipeline.no_secrets(spark, d, "")]
+    for stage in stages:
+        out = stage(docs)
+        got = out.collect()
+        assert out.columns == docs.columns and got and all(tuple(r)[5:] == want[r.doc_id] for r in got)
+    assert free_name(docs, "ROW_KEY") == "ROW_KEY__"
