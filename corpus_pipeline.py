@@ -6,7 +6,7 @@ documents. What a stage returns is written as Parquet and read again by the next
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from shoebox.llm import bpe, decontam, langid, secrets, simhash
 from shoebox.llm.queries import table, vocabulary
@@ -15,8 +15,7 @@ from shoebox.session import materialize
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is known: not ``und``, and scored at least ``langid.MIN_SCORE``."""
-    rows = langid.predict(docs, langid.fit(docs))
-    return rows.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= langid.MIN_SCORE)).select(*docs.columns)
+    return langid.keep_known(docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
