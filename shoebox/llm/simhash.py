@@ -241,6 +241,21 @@ def _bucket_links(radius: int, small: int = 48):
     return run
 
 
+def hot_keys(counts: DataFrame, balls: dict[int, np.ndarray], bucket_rows: int) -> DataFrame | None:
+    """(key, blocks) of the buckets with more than ``bucket_rows`` members, rows that probe them included.
+
+    ``balls`` has the probing masks of the partitions in which a bucket can be so large at all: those whose most common value,
+    taken as often as it is probed, exceeds the bound. Their values' counts are sent to the buckets that they probe and summed."""
+    out = None
+    for part, ball in balls.items():
+        masks = F.from_json(F.lit(str(ball.tolist())), "array<bigint>")
+        probed = counts.filter(F.col("part") == part).select("value", "n", F.explode(masks).alias("mask")).select(F.col("value").bitwiseXOR(F.col("mask")).alias("value"), "n")
+        sizes = probed.groupBy("value").agg(F.sum("n").alias("n")).filter(F.col("n") > bucket_rows)
+        keys = sizes.select((F.col("value").bitwiseOR(F.lit(part << 48))).alias("key"), F.ceil(F.col("n") / bucket_rows).cast("int").alias("blocks"))
+        out = keys if out is None else out.unionByName(keys)
+    return None if out is None else materialize(out, "simhash-hot")
+
+
 def near_links(distinct: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(u, v) links that connect exactly the fingerprints of ``distinct`` (one column ``fp``, no repeats) which any chain
     of pairs within ``radius`` bits connects. Every returned link is verified; within large buckets only a spanning
@@ -248,7 +263,8 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, bucket_rows: int = BUC
     n, both = bit_pair_counts(distinct)
     plans = [group_bits(n, both, m) for m in range(2, radius + 2)]
     counts = materialize(value_counts(distinct, plans), "simhash-values")
-    seen = {r["part"]: float(r["c"] or 0) for r in counts.groupBy("part").agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1)).alias("c")).collect()}
+    totals = counts.groupBy("part").agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1)).alias("c"), F.max("n").alias("most")).collect()
+    seen = {r["part"]: float(r["c"] or 0) for r in totals}
     plan, picks = choose_plan(n, plans, seen, radius)
     first = sum(len(p) for p in plans[: plans.index(plan)])
     balls = [_ball(len(part), t) if t >= 0 else np.zeros(0, np.int64) for part, t in zip(plan, picks, strict=True)]
@@ -268,10 +284,9 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, bucket_rows: int = BUC
         return step
 
     rows = map_batches(distinct.select("fp"), "key long, fp long, own boolean", make)
-    hot = counts.filter((F.col("n") > bucket_rows) & F.col("part").between(first, first + len(plan) - 1)).select(
-        (F.col("value").bitwiseOR(F.shiftleft(F.col("part").cast("long"), 48))).alias("key"), F.ceil(F.col("n") / bucket_rows).cast("int").alias("blocks")
-    )
-    if hot.isEmpty():
+    most = {r["part"]: r["most"] for r in totals}
+    hot = hot_keys(counts, {first + k: ball for k, ball in enumerate(balls) if most.get(first + k, 0) * len(ball) > bucket_rows}, bucket_rows)
+    if hot is None or hot.isEmpty():
         dealt = rows
     else:
         block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")

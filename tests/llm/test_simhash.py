@@ -100,3 +100,18 @@ def test_allocation_is_the_cheapest():
     assert (cost, sum(picks)) == (3, 2) or sum(picks) == 2
     best = min(sum(c[t + 1] for c, t in zip(costs, p)) for p in np.ndindex(4, 4, 4) for p in [tuple(x - 1 for x in p)] if sum(p) == 2)
     assert cost == best
+
+
+def test_rows_that_probe_a_bucket_count_for_its_size(spark):
+    rng = np.random.default_rng(4)
+    fps = np.unique((rng.random((4000, 24)) < np.linspace(0.02, 0.5, 24)) @ (1 << np.arange(24, dtype=np.int64)))
+    df = spark.createDataFrame([(int(f),) for f in fps], "fp long")
+    parts, balls = [list(range(8)), list(range(8, 24))], {0: simhash._ball(8, 1), 1: simhash._ball(16, 2)}
+    counts = simhash.value_counts(df, [parts])
+    got = {r.key: r.blocks for r in simhash.hot_keys(counts, balls, 150).collect()}
+    want = {}
+    for k, part in enumerate(parts):
+        values, n = np.unique((simhash._values(fps, part)[:, None] ^ balls[k][None]).ravel(), return_counts=True)
+        want |= {int(v) | k << 48: -(-int(c) // 150) for v, c in zip(values, n) if c > 150}
+    assert got == want and len({x >> 48 for x in want}) == 2
+    assert simhash.hot_keys(counts, {}, 150) is None
