@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from shoebox.operators.numbering import numbered
+
 #: File suffixes of pictures.
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "bmp", "tiff", "tif", "webp")
 GALLERY_SUFFIXES = ("jpg", "jpeg", "png")
@@ -256,7 +258,7 @@ def compatible_configs(registry: DataFrame, own: dict, fields: Sequence[str]) ->
     same = registry
     for f in fields:
         same = same.filter(F.col(f).eqNullSafe(F.lit(own[f])))
-    return same.withColumn("preference", F.row_number().over(Window.orderBy((F.col("config_id") != own["config_id"]).cast("int"), "config_id")))
+    return numbered(same, [], [(F.col("config_id") != own["config_id"]).cast("int"), "config_id"], "preference")
 
 
 def scene_of_image(images: DataFrame, scenes: DataFrame, longest: bool = False, max_scenes: int = 50_000) -> DataFrame:

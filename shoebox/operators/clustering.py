@@ -8,11 +8,12 @@ import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from shoebox.operators import evaluation as E
 from shoebox.operators.components import connected_components
 from shoebox.operators.knn import pairs_within, similarity_edges
+from shoebox.operators.numbering import numbered
 from shoebox.session import materialize
 
 
@@ -76,7 +77,7 @@ def dbscan(rows: DataFrame, eps: float, min_samples: int, metric: str = "cosine"
 
 def numbered_clusters(rows: DataFrame, parts: DataFrame) -> DataFrame:
     """Clusters (component) renumbered from 0 in order of component; rows without one are noise."""
-    heads = parts.select("component").distinct().withColumn("cluster_id", (F.row_number().over(Window.orderBy("component")) - 1).cast("int"))
+    heads = numbered(parts.select("component").distinct(), [], ["component"], "cluster_id").withColumn("cluster_id", (F.col("cluster_id") - 1).cast("int"))
     return rows.select("id").join(parts.join(heads, "component").select("id", "cluster_id"), "id", "left").select("id", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from shoebox.operators.numbering import numbered, smallest
+
 
 def page(rows: DataFrame, order: list, number: int, size: int) -> DataFrame:
     """Rows [(number - 1) * size, number * size) in order: a top-k, not a full sort."""
@@ -14,31 +16,13 @@ def total_pages(rows: DataFrame, size: int) -> DataFrame:
     return rows.agg(F.count("*").alias("total")).select("total", F.ceil(F.col("total") / size).cast("long").alias("total_pages"))
 
 
-def numbered(rows: DataFrame, order: str, buckets: int = 256, name: str = "position") -> DataFrame:
-    """Rows with their position from 1 in order of one column, without a window over the whole table.
-
-    The column's range is cut at approximate quantiles; positions within a bucket are offset by the buckets before it, of which
-    there are at most ``buckets``. Ties are numbered in any order, so ``order`` should be unique."""
-    cuts = [r for r in rows.stat.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.001)] if dict(rows.dtypes)[order] not in ("string",) else None
-    if cuts is None:
-        bucket = F.substring(F.hex(F.substring(F.col(order), 1, 2)), 1, 8)
-    else:
-        edges = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-        bucket = F.size(F.filter(edges, lambda e: e < F.col(order)))
-    dealt = rows.withColumn("_bucket", bucket)
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = dealt.groupBy("_bucket").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    local = dealt.withColumn("_rn", F.row_number().over(Window.partitionBy("_bucket").orderBy(order)))
-    return local.join(sizes.select("_bucket", "_before"), "_bucket").withColumn(name, F.col("_before") + F.col("_rn")).drop("_bucket", "_rn", "_before")
-
-
 def page_batch(rows: DataFrame, order: str, first: int, n_pages: int, size: int) -> DataFrame:
     """(page, row columns) of pages first … first + n - 1; pages past the end are empty."""
     if not 1 <= n_pages <= 5:
         raise ValueError("a batch has 1 to 5 pages")
-    end = (first + n_pages - 1) * size
-    top = rows.orderBy(order).limit(end).withColumn("_rn", F.row_number().over(Window.orderBy(order)))
-    return top.filter(F.col("_rn") > (first - 1) * size).withColumn("page", F.ceil(F.col("_rn") / size).cast("long")).drop("_rn")
+    at = F.col("page") - 1  # the position from 0
+    placed = numbered(rows, [], [order], "page").filter((at >= (first - 1) * size) & (at < (first + n_pages - 1) * size))
+    return placed.withColumn("page", F.floor(at / size) + 1)
 
 
 def rank_results(scores: DataFrame, by: list[str], n: int | None = None) -> DataFrame:
@@ -68,8 +52,7 @@ def cluster_examples_random(labels: DataFrame, most: int, seed: int = 42) -> Dat
 
 def cluster_examples_even(labels: DataFrame, most: int) -> DataFrame:
     """Members at the indexes trunc(i * (n - 1) / (most - 1)) in order of image; all, if there are not more."""
-    w = Window.partitionBy("cluster_id")
-    placed = labels.withColumn("at", F.row_number().over(w.orderBy("image")) - 1).withColumn("n", F.count("*").over(w))
+    placed = numbered(labels, ["cluster_id"], ["image"], "at", "n").withColumn("at", F.col("at") - 1)
     if most == 1:
         return placed.filter("at = 0").drop("at", "n")
     # the i for which the index can be this row's: the one just at or above at * (most - 1) / (n - 1)
@@ -82,30 +65,27 @@ def extract_names(labels: DataFrame, clusters: list[int] | None = None) -> DataF
     """(cluster_id, image, directory, name): repeated file names in a cluster get _001, _002, …"""
     kept = labels if clusters is None else labels.filter(F.col("cluster_id").isin(*clusters))
     file = F.substring_index("image_path", "/", -1)
-    k = F.row_number().over(Window.partitionBy("cluster_id", "file").orderBy("image_path")) - 1
     name = F.when(F.col("k") == 0, F.col("file")).otherwise(F.concat(F.regexp_replace("file", r"\.[^.]*$", ""), F.format_string("_%03d", "k"), F.regexp_extract("file", r"(\.[^.]*)$", 1)))
     folder = F.when(F.col("cluster_id") == -1, "noise_cluster").otherwise(F.format_string("cluster_%03d", "cluster_id"))
-    return kept.withColumn("file", file).withColumn("k", k).select("cluster_id", "image_path", folder.alias("directory"), name.alias("name"))
+    placed = numbered(kept.withColumn("file", file), ["cluster_id", "file"], ["image_path"], "k").withColumn("k", F.col("k") - 1)
+    return placed.select("cluster_id", "image_path", folder.alias("directory"), name.alias("name"))
 
 
 def extract_index(names: DataFrame) -> DataFrame:
     """Per cluster a 1-based index with both paths."""
-    w = Window.partitionBy("cluster_id").orderBy("image_path")
-    return names.select("cluster_id", F.row_number().over(w).alias("position"), F.concat_ws("/", "directory", "name").alias("copied"), F.col("image_path").alias("original"))
-
-
-def _least(rows: DataFrame, id_: str, n: int, seed: int) -> DataFrame:
-    return rows.orderBy(draw(seed, F.col(id_)), id_).limit(n)
+    return numbered(names, ["cluster_id"], ["image_path"]).select("cluster_id", "position", F.concat_ws("/", "directory", "name").alias("copied"), F.col("image_path").alias("original"))
 
 
 def sample_subset(rows: DataFrame, fraction: float, forced: DataFrame | None = None, seed: int = 42, id_: str = "id") -> DataFrame:
-    """max(1, int(N * fraction)) rows: forced ones that exist come first; if they are as many or more, they are all."""
-    n = max(1, int(rows.count() * fraction))
+    """max(1, int(N * fraction)) rows: forced ones that exist come first; if they are as many or more, they are all.
+
+    The others are those of smallest ``draw``, found by counts of its digits: no task gathers the sample. Rows of one id
+    are rows of their own; a null id is drawn like any other. An empty table gives none."""
     if forced is None:
-        return _least(rows, id_, n, seed)
-    own = rows.join(forced.select(id_), id_, "left_semi")
-    left = n - own.count()
-    return own if left <= 0 else own.unionByName(_least(rows.join(forced.select(id_), id_, "left_anti"), id_, left, seed))
+        return smallest(rows, lambda total: max(1, int(total * fraction)), draw(seed, F.col(id_)))
+    own, rest = rows.join(forced.select(id_), id_, "left_semi"), rows.join(forced.select(id_), id_, "left_anti")
+    have = own.count()
+    return own.unionByName(smallest(rest, lambda others: max(1, int((have + others) * fraction)) - have, draw(seed, F.col(id_))))
 
 
 def sample_percentage(rows: DataFrame, percentage: float, always: DataFrame | None = None, seed: int = 42, id_: str = "id") -> DataFrame:

@@ -536,11 +536,11 @@ def cluster_examples_even(t):
     return P.cluster_examples_even(t.labels.filter("experiment_id = 'a'"), 5).select("cluster_id", "image")
 
 
-NAMES = "select cluster_id, image_path, case when cluster_id = -1 then 'noise_cluster' else printf('cluster_%03d', cluster_id) end directory, case when k = 0 then file else regexp_replace(file, '\\.[^.]*$', '') || printf('_%03d', k) || '.jpg' end as name from (select *, row_number() over (partition by cluster_id, file order by image_path) - 1 k from (select cast(photoset_id % 6 - 1 as int) cluster_id, file_path image_path, filename file from images where id % 9 = 0))"
+NAMES = "select cluster_id, image_path, case when cluster_id = -1 then 'noise_cluster' else printf('cluster_%03d', cluster_id) end directory, case when k = 0 then file else regexp_replace(file, '\\.[^.]*$', '') || printf('_%03d', k) || '.jpg' end as name from (select *, row_number() over (partition by cluster_id, file order by image_path) - 1 k from (select cast(photoset_id % 6 - 1 as int) cluster_id, file_path image_path, filename file from images))"
 
 
 def _names(t):
-    return P.extract_names(t.images.filter("id % 9 = 0").select((F.col("photoset_id") % 6 - 1).cast("int").alias("cluster_id"), F.col("file_path").alias("image_path")))
+    return P.extract_names(t.images.select((F.col("photoset_id") % 6 - 1).cast("int").alias("cluster_id"), F.col("file_path").alias("image_path")))
 
 
 @query("images", NAMES)
@@ -550,7 +550,7 @@ def extract_names(t):
 
 @query("images", f"select cluster_id, cast(row_number() over (partition by cluster_id order by image_path) as int) as position, directory || '/' || name copied, image_path original from ({NAMES})")
 def extract_index(t):
-    return P.extract_index(_names(t))
+    return P.extract_index(_names(t)).withColumn("position", F.col("position").cast("int"))
 
 
 # sets and samples -----------------------------------------------------------------------------------------------------------

@@ -219,12 +219,6 @@ def test_sampling_is_the_same_for_any_partitioning(spark):
     assert a == b and len(a) == 50
 
 
-def test_positions_without_a_global_window(spark):
-    df = spark.range(2000).withColumn("x", (F.col("id") * 7919) % 2003)
-    got = [r.x for r in P.numbered(df, "x", 16).orderBy("position").collect()]
-    assert got == sorted(got) and P.numbered(df, "x", 16).agg(F.max("position")).first()[0] == 2000
-
-
 def test_scene_forms(spark):
     images = spark.createDataFrame([("x_set_10_a",), ("set_1",), ("none",)], "image_id string")
     scenes = spark.createDataFrame([("set_1",), ("set_10",)], "scene string")
