@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from shoebox.operators import catalog as C
@@ -9,7 +11,9 @@ from shoebox.functions import geometry as G
 from shoebox.operators import paging as P
 from shoebox.operators import rollups as R
 from shoebox.plans.tables import Tables, sql
+from shoebox.session import shared_dir
 from shoebox.sources import files as S
+from shoebox.sources import poses as PO
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -69,38 +73,86 @@ def read_import_json(t):
     return S.parse_import_json(e).select("event_id", "name", F.col("date").cast("string").alias("date"), F.col("extra_metadata")["k"].alias("k"))
 
 
-@query("", "with r as (select l_orderkey image_id, max(l_linenumber) target_size from lineitem group by 1) select * from r")
-def read_crop_json(t):
-    return S.largest_crop(t.lines.select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").alias("target_size")))
+def _folder(t, name):
+    """A folder of this run's own, which all executors see."""
+    return f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+
 
+def _side_files(rows, path):
+    """Writes rows (file, value) as one file each; the file's name is that of its folder."""
+    rows.repartition("file").write.partitionBy("file").text(path)
 
-@query("captions", "select image_id, trim(caption) caption from captions where image_id not in (select doc_id from labels)")
+
+@query("", "select cast(doc_id as varchar) image_id, 256 * (1 + doc_id % 3) target_size, round(quality / 4.0::double, 6) delta_x, round(toxic / 8.0::double + doc_id % 3, 6) delta_y from labels")
+def read_crop_json(t):
+    """Up to three crop files an image, some of them no JSON; the largest crop is read back."""
+    size = F.explode(F.sequence(F.lit(0), F.col("doc_id") % 3)).alias("k")
+    rows = t.read("labels").select("doc_id", "quality", "toxic", size).withColumn("size", 256 * (1 + F.col("k")))
+    crop = F.to_json(F.struct(F.col("size").alias("targetSize"), F.struct((F.col("quality") / 4).alias("x"), (F.col("toxic") / 8 + F.col("k")).alias("y")).alias("normalizedDeltas")))
+    files = rows.select(F.concat_ws("_crop_", "doc_id", F.concat("size", F.lit(".json"))).alias("file"), crop.alias("value"))
+    broken = t.read("labels").select(F.concat("doc_id", F.lit("_crop_999.json")).alias("file"), F.lit("{nope").alias("value"))
+    path = _folder(t, "crops")
+    _side_files(files.unionByName(broken), path)
+    return S.read_crop_json(t.spark, path).select("image_id", "target_size", r6(F.col("delta_x")).alias("delta_x"), r6(F.col("delta_y")).alias("delta_y"))
+
+
+@query("captions", "select cast(image_id as varchar) image_id, regexp_replace(caption, '^[\\s\\x0B\\x85\\p{Z}]+|[\\s\\x0B\\x85\\p{Z}]+$', '', 'g') caption from captions where caption is not null and image_id not in (select doc_id from labels)")
 def read_captions_txt(t):
-    return t.captions.join(t.crops.select("image_id"), "image_id", "left_anti").select("image_id", F.trim("caption").alias("caption"))
+    """Caption files are written; those of images that the catalog knows are not read."""
+    path = _folder(t, "captions")
+    _side_files(t.captions.filter("caption is not null").select(F.concat("image_id", F.lit("_caption.txt")).alias("file"), F.col("caption").alias("value")), path)
+    return S.read_captions_txt(t.spark, path, t.crops.select("image_id"))
 
 
-@query("", "select id, label, round(v[1], 6) first from (select vec_id id, label, cast(embedding as double[]) v from embeddings) where label % 2 = 1")
+@query("", "select 'c' || label % 2 config_id, id, label, round(v[1] * (case when label % 2 = 0 then 2 else 1 end), 6) first from (select vec_id id, label, cast(embedding as double[]) v from embeddings)")
 def embeddings_io(t):
-    from shoebox.session import shared_dir
-
-    path = f"{shared_dir(t.spark)}/embeddings-by-config"
+    """One configuration is stored after the other, and the first one once more; both are read back."""
+    path = _folder(t, "embeddings")
     rows = t.emb.withColumn("config_id", F.concat(F.lit("c"), F.col("label") % 2))
-    S.write_embeddings(rows, path)
-    return S.read_embeddings(t.spark, path, "c1").select("id", "label", r6(F.get("v", F.lit(0))).alias("first"))
+    for config, times in (("c0", 1), ("c1", 1), ("c0", 2)):
+        S.write_embeddings(rows.filter(F.col("config_id") == config).withColumn("v", F.transform("v", lambda x: x * times)), path)
+    both = S.read_embeddings(t.spark, path, "c0").unionByName(S.read_embeddings(t.spark, path, "c1"))
+    return both.select("config_id", "id", "label", r6(F.get("v", F.lit(0))).alias("first"))
+
 
+PEOPLE = "select l_orderkey*10+l_linenumber image_id, l_suppkey person_id, round(l_discount*10, 4) c, l_quantity q, l_returnflag f from lineitem"
 
-@query("poses", "select image_id, pose_confidence from poses where pose_confidence >= 0.2")
+
+@query("", f"with p as ({PEOPLE}), g as (select image_id, max(c) m, count(*) n, count(*) filter (f = 'R') d, sum(q / 100)::double s from p group by 1) select image_id || '.jpg' image_path, layout, round(m, 6) pose_confidence, n people, d detections, round(total, 6) total from (select *, case when image_id % 3 = 0 then 'keypoints' else 'landmarks' end layout, case when image_id % 3 = 0 then n * 3 / 368.0::double else s end total from g) where image_id % 13 <> 0 and image_id % 11 <> 0 and m >= 0.2")
 def pose_io(t):
-    return S.load_poses(t.poses).select("image_id", "pose_confidence")
+    """Pose documents of both layouts, single or in arrays, some broken or without confidence: written, read back, flattened."""
+    box = F.struct(*[F.lit(float(i)).alias(k) for i, k in enumerate(("x1", "y1", "x2", "y2"))])
+    landmarks = F.array(F.col("l_quantity") / 100, F.lit(0.0))
+    person = F.struct(F.round(F.col("l_discount") * 10, 4).alias("pose_confidence"), F.col("l_suppkey").cast("int").alias("person_id"), landmarks.alias("landmarks"), box.alias("bounding_box"))
+    seen = F.struct(F.col("l_returnflag").alias("class_name"), F.col("l_tax").cast("double").alias("confidence"), box.alias("bounding_box"))
+    g = t.lines.groupBy("image_id").agg(
+        F.collect_list(person).alias("people"), F.collect_list(F.when(F.col("l_returnflag") == "R", seen)).alias("additional_detections"), F.round(F.max(F.col("l_discount") * 10), 4).alias("m"),
+    )
+    old = F.col("image_id") % 3 == 0
+    triple = F.transform("people", lambda p: F.array(F.lit(1.0), F.lit(2.0), F.lit(0.5)))
+    points = F.when(F.col("image_id") % 2 == 0, F.to_json(triple)).otherwise(F.to_json(F.flatten(triple)))
+    record = F.struct(
+        F.concat("image_id", F.lit(".jpg")).alias("image_path"), F.when(F.col("image_id") % 11 != 0, F.col("m")).alias("pose_confidence"), "people", "additional_detections",
+        F.when(~old, F.flatten(F.transform("people", lambda p: p["landmarks"]))).alias("landmarks"),
+    )
+    text = F.when(old, F.concat(F.expr("substr(doc, 1, length(doc) - 1)"), F.lit(', "body_keypoints": [{"keypoints": '), points, F.lit("}]}"))).otherwise(F.col("doc"))
+    text = F.when(F.col("image_id") % 13 == 0, F.lit("{nope")).when(F.col("image_id") % 5 == 0, F.concat(F.lit("["), text, F.lit("]"))).otherwise(text)
+    path = _folder(t, "poses")
+    g.withColumn("doc", F.to_json(record)).select(text.alias("value")).write.text(path)
+    found = PO.confident(PO.read_poses(t.spark, path, lines=True).records)
+    total = F.aggregate("features", F.lit(0.0), lambda s, x: s + x)
+    return found.select("image_path", "layout", r6(F.col("pose_confidence")).alias("pose_confidence"), F.size("people").cast("long").alias("people"), F.size("additional_detections").cast("long").alias("detections"), r6(total).alias("total"))
 
 
 @query("", "select l_returnflag method, l_orderkey image, len(list(l_quantity)) own, max(len(list(l_quantity))) over (partition by l_returnflag) width, round(list_sum(list(l_quantity)), 6) total from lineitem group by l_returnflag, l_orderkey")
 def feature_store_io(t):
-    from shoebox.operators.vectors import pad_by_method
-
-    g = t.lines.groupBy(F.col("l_returnflag").alias("method"), F.col("l_orderkey").alias("image")).agg(F.collect_list("l_quantity").alias("v"))
-    padded = pad_by_method(g.withColumn("own", F.size("v")))
-    return padded.select("method", "image", "own", F.size("v").alias("width"), r6(F.aggregate("v", F.lit(0.0), lambda s, x: s + x)).alias("total"))
+    """Each method is stored by itself; all are read back, padded to the method's width."""
+    path = _folder(t, "features")
+    g = t.lines.groupBy(F.col("l_returnflag").alias("method"), F.col("l_orderkey").alias("image")).agg(F.transform(F.collect_list("l_quantity"), lambda x: x.cast("double")).alias("v"))
+    for method in ("A", "N", "R"):
+        S.write_features(g.filter(F.col("method") == method), path)
+    own = F.size(F.filter("v", lambda x: x != 0))  # quantities are 1 or more, padding is 0
+    return S.read_features(t.spark, path).select("method", "image", own.alias("own"), F.size("v").alias("width"), r6(F.aggregate("v", F.lit(0.0), lambda s, x: s + x)).alias("total"))
 
 
 @query("docs captions crops", "select d.id, d.file_path as name, c.crop_file_path, k.caption from docs d left join crops c on c.image_id = d.id left join captions k on k.image_id = d.id where d.id % 10 = 0")
@@ -299,7 +351,7 @@ def embedding_registry(t):
     own = part.filter("p_partkey = 0").first()
     registry = part.withColumn("config_id", F.lpad("config_id", 12, "0"))
     out = C.compatible_configs(registry, {"p_type": own["p_type"], "config_id": "0" * 12}, ["p_type"])
-    return out.select("p_partkey", F.col("name").alias("config_id"), "preference")
+    return out.select("p_partkey", F.col("name").alias("config_id"), F.col("preference").cast("int").alias("preference"))
 
 
 @query("points", "select id, round(list_sum(list_transform(points, lambda p: p.x / 640 + p.y / 480)), 6) total, round(greatest(coalesce(list_avg(list_transform(list_filter(points, lambda p: p.conf > 0.1), lambda p: p.conf)), 0.0), 0.05), 6) confidence from points")
@@ -420,10 +472,9 @@ def empty_photosets(t):
     return C.absent(t.photosets, t.images.select(F.col("photoset_id").alias("id")), "id").agg(F.count("*").alias("n"))
 
 
-@query("images photosets", "select 'images' table_name, count(*) n, count(*) > 0 ok from images union all select 'photosets', count(*), count(*) > 0 from photosets union all select 'captions', 0, true union all select 'crops', 0, false")
+@query("images photosets captions crops", "select 'images' table_name, count(*) n, count(*) > 0 ok from images union all select 'photosets', count(*), count(*) > 0 from photosets union all select 'captions', count(*), true from captions union all select 'crops', count(*), count(*) > 0 from crops")
 def table_counts(t):
-    none = t.images.filter("false")
-    return R.table_counts({"images": t.images, "photosets": t.photosets, "captions": none, "crops": none})
+    return R.table_counts({"images": t.images, "photosets": t.photosets, "captions": t.captions, "crops": t.crops})
 
 
 ANALYSIS = "select cluster_id, count(*) size, round(count(*) * 100.0 / sum(count(*)) over (), 6) percentage, cluster_id = -1 is_noise from labs where experiment_id = 'b' group by 1"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shoebox.operators import catalog as C
 from shoebox.operators.vectors import pad_by_method
@@ -41,37 +41,70 @@ def parse_import_json(rows: DataFrame, text: str = "json") -> DataFrame:
     )
 
 
+def stripped(text: Column) -> Column:
+    """Text without white space at either end, line ends included."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def captions_of(files: DataFrame) -> DataFrame:
+    """(path, image_id, caption) of <id>_caption.txt files given as (path, value); other files are left out.
+
+    The file's name may also be that of a folder with one file in it, as partitioned writers lay it out."""
+    key = F.regexp_extract("path", r"([^/=]+)_caption\.txt(/[^/]+)?$", 1)
+    return files.select("path", key.alias("image_id"), stripped(F.col("value")).alias("caption")).filter("image_id <> ''")
+
+
+def crops_of(files: DataFrame) -> DataFrame:
+    """(path, image_id, target_size, delta_x, delta_y) of <id>_crop_<size>.json files given as (path, value); what is no such
+    JSON is left out."""
+    key = F.regexp_extract("path", r"([^/=]+)_crop_[^/]*\.json(/[^/]+)?$", 1)
+    crop = F.from_json("value", "targetSize int, normalizedDeltas struct<x:double,y:double>")
+    rows = files.select("path", F.split(key, "_crop_")[0].alias("image_id"), crop.alias("c")).filter("image_id <> '' and c.targetSize is not null")
+    return rows.select("path", "image_id", F.col("c.targetSize").alias("target_size"), F.col("c.normalizedDeltas.x").alias("delta_x"), F.col("c.normalizedDeltas.y").alias("delta_y"))
+
+
+def whole_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, value) of all files below, each as one text."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", F.col("content").cast("string").alias("value"))
+
+
 def read_captions_txt(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
     """(image_id, caption) from <id>_caption.txt files; ids already known are left out."""
-    rows = spark.read.text(path, wholetext=True).select(F.regexp_replace(C.stem(F.col("_metadata.file_name")), "_caption$", "").alias("image_id"), F.trim("value").alias("caption"))
-    return rows if known is None else rows.join(known.select("image_id"), "image_id", "left_anti")
+    rows = captions_of(whole_files(spark, path)).select("image_id", "caption")
+    return rows if known is None else rows.join(known.select(F.col("image_id").cast("string").alias("image_id")), "image_id", "left_anti")
 
 
 def read_crop_json(spark: SparkSession, path: str) -> DataFrame:
     """(image_id, target_size, delta_x, delta_y) from <id>_crop_<size>.json files; the largest size of an id wins."""
-    rows = spark.read.schema("targetSize int, normalizedDeltas struct<x:double,y:double>").option("multiLine", True).json(path)
-    rows = rows.select(F.split(C.stem(F.col("_metadata.file_name")), "_crop_")[0].alias("image_id"), F.col("targetSize").alias("target_size"), F.col("normalizedDeltas.x").alias("delta_x"), F.col("normalizedDeltas.y").alias("delta_y"))
-    return C.first_by(rows, ["image_id"], [F.desc("target_size")])
+    return largest_crop(crops_of(whole_files(spark, path)).drop("path"))
 
 
 def largest_crop(rows: DataFrame) -> DataFrame:
-    return C.first_by(rows, ["image_id"], [F.desc("target_size")])
+    rest = [c for c in rows.columns if c != "image_id"]
+    return rows.groupBy("image_id").agg(F.max_by(F.struct(*rest), F.struct(*rest)).alias("c")).select("image_id", *[f"c.{c}" for c in rest])
+
+
+def write_by(rows: DataFrame, path: str, key: str) -> None:
+    """One folder for each value of ``key``: those that ``rows`` has are replaced, all others stay as they are."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
 def write_embeddings(rows: DataFrame, path: str) -> None:
-    """(config_id, path, embedding), one folder for each configuration."""
-    rows.write.mode("overwrite").partitionBy("config_id").parquet(path)
+    """(config_id, path, embedding): the configurations in ``rows`` are stored anew, others keep their vectors."""
+    write_by(rows, path, "config_id")
 
 
 def read_embeddings(spark: SparkSession, path: str, config_id: str) -> DataFrame:
     return spark.read.parquet(path).filter(F.col("config_id") == config_id)
 
 
-def load_poses(rows: DataFrame, threshold: float = 0.2) -> DataFrame:
-    """Rows whose pose confidence reaches the threshold; a missing one is 0."""
-    return rows.filter(F.coalesce("pose_confidence", F.lit(0.0)) >= threshold)
+def write_features(rows: DataFrame, path: str) -> None:
+    """Long feature vectors (image, method, v), padded within a method; other methods in the store stay as they are."""
+    write_by(pad_by_method(rows), path, "method")
 
 
-def write_features(rows: DataFrame, path: str) -> None:
-    """Long feature vectors (image, method, v), padded within a method, one folder for each."""
-    pad_by_method(rows).write.mode("overwrite").partitionBy("method").parquet(path)
+def read_features(spark: SparkSession, path: str, methods: list[str] | None = None) -> DataFrame:
+    """(image, method, v) of the stored methods, or of those asked for; a method that is not stored gives no rows."""
+    rows = spark.read.parquet(path).withColumn("method", F.col("method").cast("string"))
+    return rows if methods is None else rows.filter(F.col("method").isin(*methods))
