@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from shoebox.operators import evaluation as E
 from shoebox.operators.components import connected_components
-from shoebox.operators.knn import pairs_within, similarity_edges
+from shoebox.operators.knn import similarity_edges
 from shoebox.operators.numbering import numbered
+from shoebox.operators.radius import radius_join
 from shoebox.session import materialize
 
 
@@ -65,7 +66,7 @@ def dbscan(rows: DataFrame, eps: float, min_samples: int, metric: str = "cosine"
 
     A row counts in its own neighbourhood. A border row goes to the reachable cluster with the smallest id; clusters are
     numbered by their smallest row."""
-    near = pairs_within(rows, 1 - eps) if metric == "cosine" else pairs_within(rows, eps * eps, "l2")
+    near = (radius_join(rows, 1 - eps) if metric == "cosine" else radius_join(rows, eps * eps, "l2")).pairs
     edges = materialize(near.select("seed", "id"), "edges")
     core = materialize(edges.groupBy("seed").agg(F.count("*").alias("n")).filter(F.col("n") >= min_samples).select("seed"), "core")
     inner = edges.join(core, "seed").join(core.select(F.col("seed").alias("id")), "id")
@@ -104,11 +105,11 @@ def _leader_rounds(edges: DataFrame, min_cluster_size: int, simple: bool) -> Dat
     return edges.sparkSession.read.schema(found[0].schema).parquet(*paths)
 
 
-def leader(rows: DataFrame, threshold: float, min_cluster_size: int = 2, depth: int = 100, simple: bool = False, most_rows: int = 100_000) -> DataFrame:
+def leader(rows: DataFrame, threshold: float, min_cluster_size: int = 2, depth: int = 100, simple: bool = False, most_rows: int = 100_000, unit: bool = False) -> DataFrame:
     """Seeds in order of id take their unassigned neighbours; too few make the seed noise, which leaves (``simple``: which a
     later seed may still take). A seed touches its neighbours only, so the components of the edge table are independent:
     those of up to ``most_rows`` rows are walked in a task each, larger ones are settled in rounds of joins, alike."""
-    edges = materialize(similarity_edges(rows, threshold, depth), "edges")
+    edges = materialize(similarity_edges(rows, threshold, depth, unit=unit), "edges")
     parts = materialize(connected_components(edges, "seed", "id"), "leader-parts")
     large = parts.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > most_rows).select("component")
     if large.isEmpty():

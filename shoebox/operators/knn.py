@@ -9,6 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F
 
 from shoebox.operators import vectors as V
+from shoebox.operators.radius import radius_join
 
 
 def topk(rows: DataFrame, query: DataFrame, k: int = 30, metric: str = "ip", exclude: DataFrame | None = None) -> DataFrame:
@@ -115,10 +116,14 @@ def topk_in_cluster(rows: DataFrame, labels: DataFrame, targets: DataFrame, k: i
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
 
 
-def similarity_edges(rows: DataFrame, threshold: float, depth: int = 100, metric: str = "ip") -> DataFrame:
+def similarity_edges(rows: DataFrame, threshold: float, depth: int = 100, metric: str = "ip", unit: bool = False) -> DataFrame:
     """(seed, id, score) of each row's neighbours within its depth list whose similarity reaches the threshold.
 
-    For ``l2`` the similarity is exp(-d / (population deviation of the row's own list + 1e-6))."""
+    For ``l2`` the similarity is exp(-d / (population deviation of the row's own list + 1e-6)). If all vectors are ``unit``
+    vectors, inner products that reach the threshold are a radius, and only cells within it are compared."""
+    if unit and metric == "ip":
+        rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("score"), "id"))
+        return radius_join(rows, threshold).pairs.withColumn("rank", rank).filter(F.col("rank") <= depth).select("seed", "id", "score")
     near = knn_join(rows, rows, depth, metric).select(F.col("target").alias("seed"), "id", "score")
     if metric == "l2":
         spread = F.stddev_pop("score").over(Window.partitionBy("seed"))

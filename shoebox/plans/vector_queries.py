@@ -182,7 +182,7 @@ def pair_rank(t):
 
 @query("emb", f"with u as ({UNIT}) select a.id seed, b.id, round({dot('a.v', 'b.v')}, 6) score from u a, u b where {dot('a.v', 'b.v')} >= 0.3 qualify row_number() over (partition by a.id order by {dot('a.v', 'b.v')} desc, b.id) <= 100")
 def similarity_edges(t):
-    return N.similarity_edges(_unit(t), 0.3).withColumn("score", r6(F.col("score")))
+    return N.similarity_edges(_unit(t), 0.3, unit=True).withColumn("score", r6(F.col("score")))
 
 
 # clustering -----------------------------------------------------------------------------------------------------------------
@@ -191,12 +191,12 @@ def similarity_edges(t):
 @query()
 def cluster_leader(t):
     """Sequential by definition: tested against a plain loop."""
-    return K.leader(_unit(t), 0.3, 3)
+    return K.leader(_unit(t), 0.3, 3, unit=True)
 
 
 @query()
 def cluster_leader_simple(t):
-    return K.leader(_unit(t), 0.3, 3, simple=True)
+    return K.leader(_unit(t), 0.3, 3, simple=True, unit=True)
 
 
 @query("sep", "select count(distinct label) clusters, sum(n)::bigint pairs from (select label, count(*) * (count(*) - 1) // 2 n from sep group by label)")
