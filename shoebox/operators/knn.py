@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F
 
 from shoebox.operators import vectors as V
 from shoebox.operators.radius import radius_join
 
+#: Rows of either side in a block of an exact search.
+BLOCK_ROWS = 4096
+
 
 def topk(rows: DataFrame, query: DataFrame, k: int = 30, metric: str = "ip", exclude: DataFrame | None = None) -> DataFrame:
     """The k best rows for the one query vector: inner product descending or squared distance ascending."""
@@ -25,7 +26,32 @@ def _block(df: DataFrame, n: int, name: str) -> DataFrame:
     return df.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(name), F.col("id").cast("long"), F.col("v").cast("array<double>"))
 
 
-def knn_join(queries: DataFrame, rows: DataFrame, k: int = 50, metric: str = "ip", exclude: DataFrame | None = None, blocks: int | None = None, block_rows: int = 4096) -> DataFrame:
+def best_rows(scores: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k greatest scores of each row, best first; of equal scores the first columns."""
+    m = scores.shape[1]
+    if m <= 4 * k:
+        return np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    top = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    top.sort(axis=1)
+    top = np.take_along_axis(top, np.argsort(-np.take_along_axis(scores, top, 1), axis=1, kind="stable"), 1)
+    least = np.take_along_axis(scores, top[:, -1:], 1)
+    tied = np.flatnonzero((scores >= least).sum(1) > k)  # which of the equal ones are taken is not left to the partition
+    top[tied] = np.argsort(-scores[tied], axis=1, kind="stable")[:, :k]
+    return top
+
+
+def _products(metric: str, q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Scores of which greater is better: inner products, or squared distances below zero."""
+    s = q @ r.T
+    return s if metric == "ip" else -np.maximum((q * q).sum(1)[:, None] + (r * r).sum(1)[None, :] - 2 * s, 0)
+
+
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+
+
+def knn_join(queries: DataFrame, rows: DataFrame, k: int = 50, metric: str = "ip", exclude: DataFrame | None = None, blocks: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(target, id, score, rank): the k best rows for each query.
 
     Queries and rows are dealt to blocks of about ``block_rows``; each pair of blocks is one matrix product that returns k rows
@@ -36,25 +62,46 @@ def knn_join(queries: DataFrame, rows: DataFrame, k: int = 50, metric: str = "ip
     left = _block(queries, nq, "qb").withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(nr - 1)))).withColumn("side", F.lit(0))
     right = _block(kept, nr, "rb").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).withColumn("side", F.lit(1))
     both = left.select("qb", "rb", "side", "id", "v").unionByName(right.select("qb", "rb", "side", "id", "v"))
+    return _ranked(both.groupBy("qb", "rb").applyInArrow(_best_of(k, metric, own=True), "target long, id long, score double"), k, metric)
+
+
+def _best_of(k: int, metric: str, own: bool):
+    """Group function over (side, id, v): the k best of side 1 for each row of side 0; without ``own``, a row is none of its own."""
 
     def best(table: pa.Table) -> pa.Table:
         side, ids = table["side"].to_numpy(), table["id"].to_numpy()
         out = {"target": [], "id": [], "score": []}
         if 0 < side.sum() < len(side):
-            x = np.stack(table["v"].to_numpy())
+            x = _vectors(table["v"])
             q, r, qi, ri = x[side == 0], x[side == 1], ids[side == 0], ids[side == 1]
             order = np.argsort(ri)
             r, ri = r[order], ri[order]
-            s = q @ r.T
-            if metric == "l2":
-                s = np.maximum((q * q).sum(1)[:, None] + (r * r).sum(1)[None, :] - 2 * s, 0)
-            top = np.argsort(-s if metric == "ip" else s, axis=1, kind="stable")[:, :k]
-            out = {"target": np.repeat(qi, top.shape[1]), "id": ri[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()}
+            s = _products(metric, q, r)
+            top = best_rows(s, k if own else k + 1)
+            target, found, score = np.repeat(qi, top.shape[1]), ri[top].ravel(), np.take_along_axis(s, top, 1).ravel()
+            keep = np.ones(len(target), bool) if own else target != found
+            out = {"target": target[keep], "id": found[keep], "score": score[keep] if metric == "ip" else -score[keep]}
         return pa.table({"target": pa.array(out["target"], pa.int64()), "id": pa.array(out["id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
-    pairs = both.groupBy("qb", "rb").applyInArrow(best, "target long, id long, score double")
+    return best
+
+
+def _ranked(found: DataFrame, k: int, metric: str) -> DataFrame:
     order = F.desc("score") if metric == "ip" else F.asc("score")
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy(order, "id"))).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy(order, "id"))).filter(F.col("rank") <= k)
+
+
+def dealt_by_key(queries: DataFrame, rows: DataFrame, key: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The rows of both sides (key and the same other columns, among them id) with side (0: query), dealt so that each query of a key meets each row of it once,
+    in a group (key, qb, rb) of at most about ``block_rows`` rows of either side. However many rows a key has, no group holds
+    more; a key of b blocks of rows and c of queries copies each query b times and each row c times."""
+    size = lambda df, name: df.groupBy(key).agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
+    blocks = size(rows, "nr").join(size(queries, "nq"), key)  # keys that one side lacks have no pairs
+    home = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = queries.join(blocks, key).withColumn("side", F.lit(0)).withColumn("qb", home("nq")).withColumn("rb", all_of("nr"))
+    right = rows.join(blocks, key).withColumn("side", F.lit(1)).withColumn("rb", home("nr")).withColumn("qb", all_of("nq"))
+    return left.drop("nq", "nr").unionByName(right.drop("nq", "nr"))
 
 
 def pairs_within(rows: DataFrame, bound: float, metric: str = "ip", block_rows: int = 2048) -> DataFrame:
@@ -83,37 +130,14 @@ def pairs_within(rows: DataFrame, bound: float, metric: str = "ip", block_rows:
     return dealt.groupBy("a", "b").applyInArrow(within, "seed long, id long, score double")
 
 
-def knn_ivf(queries: DataFrame, rows: DataFrame, k: int = 30, cells: int | None = None, probes: int | None = None, seed: int = 42, metric: str = "ip", recall: float = 0.95, sample: int = 256) -> DataFrame:
-    """Approximate (target, id, score, rank): rows filed by k-means cell, each query against its ``probes`` nearest cells.
-
-    min(100, max(1, n // 39)) cells unless given. Without ``probes``, as many as find the share ``recall`` of the exact
-    neighbours of ``sample`` rows, chosen by the hash of their ids. Scores are exact inner products or squared distances (``l2``)."""
-    n = rows.count()
-    cells = cells or min(100, max(1, n // 39))
-    data = rows.select("id", "v", array_to_vector(F.col("v").cast("array<double>")).alias("features"))
-    model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="features", predictionCol="cell").fit(data)
-    filed = model.transform(data).select("id", "v", "cell")
-    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])  # at most 100 vectors
-    near = F.transform(F.array_sort(F.transform(centres, lambda c, i: F.struct(V.squared_distance(c, F.col("v")).alias("d"), i.alias("cell")))), lambda x: x["cell"])
-    if probes is None:
-        some = rows.select("id", "v").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample)
-        true = knn_join(some, rows, k + 1, metric).filter("id <> target").select("target", "id")
-        places = true.join(some.select(F.col("id").alias("target"), near.alias("near")), "target").join(filed.select("id", "cell"), "id")
-        found = places.select(F.array_position("near", F.col("cell")).alias("place")).agg(F.expr(f"percentile_disc({recall}) within group (order by place)"))
-        probes = int(found.first()[0] or cells)
-    asked = queries.select(F.col("id").alias("target"), F.col("v").alias("q"), F.explode(F.slice(near, 1, probes)).alias("cell"))
-    score = V.dot(F.col("v"), F.col("q")) if metric == "ip" else V.squared_distance(F.col("v"), F.col("q"))
-    scored = asked.join(filed, "cell").filter("id <> target").select("target", "id", score.alias("score"))
-    order = F.desc("score") if metric == "ip" else F.asc("score")
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy(order, "id"))).filter(F.col("rank") <= k)
-
+def topk_in_cluster(rows: DataFrame, labels: DataFrame, targets: DataFrame, k: int = 30, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(target, id, score, rank) among the members of the target's own cluster; noise has none.
 
-def topk_in_cluster(rows: DataFrame, labels: DataFrame, targets: DataFrame, k: int = 30) -> DataFrame:
-    """(target, id, score, rank) among the members of the target's own cluster; noise has none."""
-    own = rows.join(labels.filter("cluster_id <> -1").select("id", "cluster_id"), "id")
-    asked = own.join(targets.select("id"), "id", "left_semi").select(F.col("id").alias("target"), F.col("v").alias("q"), "cluster_id")
-    scored = asked.join(own, "cluster_id").filter("id <> target").select("target", "id", V.dot(F.col("v"), F.col("q")).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
+    A cluster is cut into blocks, each of which returns its k best for a target; so a cluster may hold most of all rows."""
+    own = rows.join(labels.filter("cluster_id <> -1").select("id", "cluster_id"), "id").select("cluster_id", "id", F.col("v").cast("array<double>").alias("v"))
+    asked = own.join(targets.select("id"), "id", "left_semi").select("cluster_id", "id", "v")
+    groups = dealt_by_key(asked, own, "cluster_id", block_rows).groupBy("cluster_id", "qb", "rb")
+    return _ranked(groups.applyInArrow(_best_of(k, "ip", own=False), "target long, id long, score double"), k, "ip")
 
 
 def similarity_edges(rows: DataFrame, threshold: float, depth: int = 100, metric: str = "ip", unit: bool = False) -> DataFrame:

@@ -92,9 +92,14 @@ def algorithm_summary(runs: DataFrame) -> DataFrame:
 
 
 def comembers(labels: DataFrame, targets: DataFrame, cap: int = 50) -> DataFrame:
-    """(experiment_id, target, image): images that share a target's cluster, at most ``cap`` each, by image id."""
-    seeds = labels.filter("cluster_id <> -1").join(targets.select(F.col("image").alias("image")), "image", "left_semi").withColumnRenamed("image", "target")
-    pairs = seeds.join(labels, ["experiment_id", "cluster_id"]).filter("image <> target")
+    """(experiment_id, target, image): images that share a target's cluster, at most ``cap`` each, by image id.
+
+    Of a cluster only its first cap + 1 images can be any target's, and each task hands on no more than those of a cluster."""
+    own = labels.filter("cluster_id <> -1").select("experiment_id", "cluster_id", "image")
+    seeds = own.join(targets.select(F.col("image").alias("image")), "image", "left_semi").withColumnRenamed("image", "target")
+    place = F.row_number().over(Window.partitionBy("experiment_id", "cluster_id").orderBy("image"))
+    first = own.withColumn("rn", place).filter(F.col("rn") <= cap + 1).drop("rn")
+    pairs = seeds.join(first, ["experiment_id", "cluster_id"]).filter("image <> target")
     rank = F.row_number().over(Window.partitionBy("experiment_id", "target").orderBy("image"))
     return pairs.withColumn("rn", rank).filter(F.col("rn") <= cap).select("experiment_id", "target", "image")
 

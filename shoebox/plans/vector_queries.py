@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shoebox.operators import clustering as K
+from shoebox.operators import coded as CV
 from shoebox.operators import evaluation as E
 from shoebox.operators import knn as N
 from shoebox.operators import vectors as V
@@ -130,7 +131,7 @@ def knn_join(t):
 @query()
 def knn_ivf(t):
     """Approximate by design; the tests measure its recall against the exact search."""
-    return N.knn_ivf(_unit(t).filter("id % 100 = 0"), _unit(t), 10)
+    return CV.knn_ivf(_unit(t).filter("id % 100 = 0"), _unit(t), 10)
 
 
 @query("emb", MULTI + "select id, round(sum(score * pow(0.9::double, position)), 6) score from f group by id order by sum(score * pow(0.9::double, position)) desc, id limit 30")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shoebox.operators import catalog as C
 from shoebox.operators import clustering as K
+from shoebox.operators import coded as CV
 from shoebox.operators import evaluation as E
 from shoebox.functions import geometry as G
 from shoebox.operators import knn as N
@@ -69,7 +70,7 @@ def test_ivf_recall(spark, t):
     u = V.with_unit_vectors(t.sep)
     q = u.filter("id % 20 = 0")
     exact = {(r.target, r.id) for r in N.knn_join(q, u, 11).filter("target <> id and rank <= 11").collect()}
-    got = {(r.target, r.id) for r in N.knn_ivf(q, u, 10, probes=4).collect()}
+    got = {(r.target, r.id) for r in CV.knn_ivf(q, u, 10, probes=4).collect()}
     assert len(got & exact) >= 0.9 * len(got) and len(got) == 10 * q.count()
 
 
@@ -82,7 +83,7 @@ def test_ivf_recall_of_the_registered_search(spark, metric):
     np.fill_diagonal(near, -np.inf)
     asked = np.flatnonzero(ids % 100 == 0)
     exact = {(int(ids[i]), int(ids[j])) for i in asked for j in np.argsort(-near[i], kind="stable")[:10]}
-    got = {(r.target, r.id) for r in N.knn_ivf(u.filter("id % 100 = 0"), u, 10, metric=metric).collect()}
+    got = {(r.target, r.id) for r in CV.knn_ivf(u.filter("id % 100 = 0"), u, 10, metric=metric).collect()}
     assert len(got & exact) >= 0.9 * len(exact)
 
 
