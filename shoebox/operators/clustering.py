@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from shoebox.operators import evaluation as E
 from shoebox.operators.components import connected_components
 from shoebox.operators.knn import similarity_edges
+from shoebox.operators.mixture import components, fit_mixture
 from shoebox.operators.numbering import numbered
 from shoebox.operators.radius import radius_join
 from shoebox.session import materialize
@@ -22,18 +23,21 @@ def features(rows: DataFrame) -> DataFrame:
     return rows.select("id", array_to_vector(F.col("v").cast("array<double>")).alias("features"))
 
 
-def kmeans(rows: DataFrame, k: int, seed: int = 42, max_iter: int = 300, restarts: int = 10) -> DataFrame:
+def kmeans(rows: DataFrame, k: int, seed: int = 42, max_iter: int = 300, restarts: int = 10, init: str = "k-means||") -> DataFrame:
     """The restart of least inertia."""
-    data = features(rows).cache()
-    fits = [KMeans(k=k, seed=seed + i, maxIter=max_iter, predictionCol="cluster_id").fit(data) for i in range(restarts)]
+    data = features(rows).persist()
+    try:
+        fits = [KMeans(k=k, seed=seed + i, maxIter=max_iter, initMode=init, predictionCol="cluster_id").fit(data) for i in range(restarts)]
+    finally:
+        data.unpersist()
     best = min(fits, key=lambda m: m.summary.trainingCost)
-    return best.transform(data).select("id", "cluster_id")
+    return best.transform(features(rows)).select("id", "cluster_id")
 
 
-def gmm(rows: DataFrame, k: int, seed: int = 42, max_iter: int = 100) -> DataFrame:
-    """Most probable component of a mixture with full covariances."""
-    model = GaussianMixture(k=k, seed=seed, maxIter=max_iter, predictionCol="cluster_id").fit(features(rows))
-    return model.transform(features(rows)).select("id", "cluster_id")
+def gmm(rows: DataFrame, k: int, seed: int = 42, max_iter: int = 100, covariance: str = "full") -> DataFrame:
+    """Most probable component of a mixture that starts from k-means; covariances are full, tied or diag."""
+    start = materialize(kmeans(rows, k, seed, 20, 1), "mixture-start")
+    return components(rows, fit_mixture(rows, start, k, covariance, max_iter))
 
 
 def choose_k(inertias: dict[int, float], silhouettes: dict[int, float], gate: float = 0.3) -> int:
@@ -51,11 +55,12 @@ def auto_k(rows: DataFrame, max_k: int = 20, seed: int = 42) -> DataFrame:
     """(k, inertia, silhouette, chosen) for every k that was tried."""
     n = rows.count()
     inertias, silhouettes = {}, {}
-    data = features(rows).cache()
+    data = features(rows).persist()
     for k in range(2, min(max_k, n // 2) + 1):
         model = KMeans(k=k, seed=seed, maxIter=50, predictionCol="cluster_id").fit(data)
         inertias[k] = model.summary.trainingCost
-        silhouettes[k] = E.silhouette(rows, model.transform(data).select("id", "cluster_id")).first()["silhouette"]
+        silhouettes[k] = E.silhouette(rows, model.transform(data).select("id", "cluster_id"), 5000).first()["silhouette"]
+    data.unpersist()
     chosen = choose_k(inertias, silhouettes) if silhouettes else 1
     out = [(k, float(inertias[k]), float(silhouettes[k]), k == chosen) for k in sorted(inertias)]
     return rows.sparkSession.createDataFrame(out, "k int, inertia double, silhouette double, chosen boolean")
@@ -158,35 +163,3 @@ CLUSTERERS: dict[str, Callable[..., DataFrame]] = {"kmeans": kmeans, "gmm": gmm,
 
 def register_clusterer(name: str, function: Callable[..., DataFrame]) -> None:
     CLUSTERERS[name] = function
-
-
-def grid(mode: str, n: int) -> list[tuple[str, dict]]:
-    """Parameter sets by mode (fast, balanced, comprehensive) and number of rows."""
-    many = {"fast": 3, "balanced": 6, "comprehensive": 12}[mode]
-    top = max(3, min(100, int(n**0.5)))
-    ks = sorted({max(2, round(2 + (top - 2) * i / (many - 1))) for i in range(many)})
-    out = [("kmeans", {"k": k, "restarts": 1, "max_iter": 50}) for k in ks]
-    out += [("dbscan", {"eps": e, "min_samples": 5}) for e in (0.3, 0.4, 0.5)[: max(1, many // 3)]]
-    return out
-
-
-def experiment_grid(rows: DataFrame, runs: Iterable[tuple[str, dict]], done: DataFrame | None = None, gate: float = 0.1) -> tuple[DataFrame, DataFrame]:
-    """(experiments, labels) of all parameter sets that are not done, scored; those at or below the gate are dropped."""
-    spark = rows.sparkSession
-    old = {r["experiment_id"] for r in done.select("experiment_id").collect()} if done is not None else set()
-    results, kept = [], []
-    for algorithm, params in runs:
-        name = algorithm + "_" + "_".join(f"{k}{v}" for k, v in sorted(params.items()))
-        if name in old:
-            continue
-        labels = materialize(CLUSTERERS[algorithm](rows, **params).select("id", "cluster_id"), "labels")
-        s = E.scores(rows, labels).first()
-        if s["composite_score"] > gate:
-            results.append((name, algorithm, {k: str(v) for k, v in params.items()}, s["n_clusters"], s["noise_ratio"], s["silhouette"], s["balance_score"], s["composite_score"]))
-            kept.append(labels.withColumn("experiment_id", F.lit(name)))
-    schema = "experiment_id string, algorithm string, parameters map<string,string>, n_clusters long, noise_ratio double, silhouette double, balance_score double, composite_score double"
-    table = spark.createDataFrame(results, schema)
-    out = spark.createDataFrame([], "id long, cluster_id int, experiment_id string")
-    for labels in kept:
-        out = out.unionByName(labels)
-    return table, out

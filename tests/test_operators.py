@@ -146,9 +146,6 @@ def test_mixture_and_auto_k_find_planted_clusters(spark, t):
     assert [len(set(got[i : i + 60])) for i in (0, 60, 120)] == [1, 1, 1] and len(set(got)) == 3
     assert K.choose_k({2: 100, 3: 50, 4: 45, 5: 44}, {2: 0.1, 3: 0.2, 4: 0.1, 5: 0.1}) == 2
     assert K.choose_k({2: 1, 3: 1}, {2: 0.4, 3: 0.6}) == 3
-    runs, labels = K.experiment_grid(t.sep, [("kmeans", {"k": 10, "restarts": 3, "max_iter": 30})])
-    assert runs.first()["composite_score"] > 0.5
-    assert K.experiment_grid(t.sep, [("kmeans", {"k": 10, "restarts": 3, "max_iter": 30})], runs)[0].count() == 0
 
 
 def test_silhouette_edges(spark):
