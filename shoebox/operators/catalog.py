@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from shoebox.operators.grams import candidates, containing
 from shoebox.operators.numbering import numbered
 
 #: File suffixes of pictures.
@@ -220,9 +222,19 @@ def images_by_tag(images: DataFrame, bridge: DataFrame, tag: str) -> DataFrame:
     return images.join(wanted, "id", "left_semi")
 
 
-def find_by_pattern(images: DataFrame, pattern: str) -> DataFrame:
-    """The image with that id, if the pattern is a UUID; else the smallest id whose name or path contains it."""
+def file_names() -> Column:
+    """Name and path as one text, for a name index of images."""
+    return F.concat_ws("\n", "filename", "file_path")
+
+
+def find_by_pattern(images: DataFrame, pattern: str, index: str | None = None) -> DataFrame:
+    """The image with that id, if the pattern is a UUID; else the smallest id whose name or path contains it.
+
+    ``index`` is the path of a name index over ``file_names``; with it, only images that have the pattern's runs are read."""
     uuid = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+    if index and not re.match(uuid, pattern):
+        named = candidates(images.sparkSession, index, [pattern])
+        images = images if named is None else images.join(named, "id", "left_semi")
     hit = F.when(F.lit(pattern).rlike(uuid), F.col("id").cast("string") == pattern).otherwise(F.col("filename").contains(pattern) | F.col("file_path").contains(pattern))
     return images.filter(hit).orderBy("id").limit(1)
 
@@ -261,24 +273,9 @@ def compatible_configs(registry: DataFrame, own: dict, fields: Sequence[str]) ->
     return numbered(same, [], [(F.col("config_id") != own["config_id"]).cast("int"), "config_id"], "preference")
 
 
-def scene_of_image(images: DataFrame, scenes: DataFrame, longest: bool = False, max_scenes: int = 50_000) -> DataFrame:
-    """(image_id, scene): the first scene key, in order of keys, that the image id contains; or the longest.
-
-    The scene list is broadcast only below ``max_scenes``; beyond, both sides are joined on the keys' length and every
-    substring of that length, so that the join stays an equality."""
-    keys = scenes.select("scene").distinct()
-    if keys.limit(max_scenes + 1).count() <= max_scenes:
-        pairs = images.join(F.broadcast(keys), F.col("image_id").contains(F.col("scene")))
-    else:
-        lengths = keys.agg(F.array_sort(F.collect_set(F.length("scene"))).alias("_lengths"))  # one row; as many values as keys have lengths
-        images = images.join(F.broadcast(lengths))
-
-        def substrings(n):
-            at = F.sequence(F.lit(1), F.greatest(F.length("image_id") - n + 1, F.lit(1)))
-            return F.transform(at, lambda p: F.substring(F.col("image_id"), p, n))
-
-        parts = F.flatten(F.transform("_lengths", lambda n: substrings(n)))
-        pairs = images.withColumn("scene", F.explode(F.array_distinct(parts))).join(keys, "scene")
+def scene_of_image(images: DataFrame, scenes: DataFrame, longest: bool = False) -> DataFrame:
+    """(image_id, scene): the first scene key, in order of keys, that the image id contains; or the longest."""
+    pairs = containing(images.select("image_id"), scenes, "image_id", "scene")
     order = F.struct((-F.length("scene") if longest else F.lit(0)).alias("a"), F.col("scene").alias("b"))
     return pairs.groupBy("image_id").agg(F.min_by("scene", order).alias("scene"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from shoebox.operators import catalog as C
 from shoebox.functions import geometry as G
+from shoebox.operators import grams as GR
 from shoebox.operators import paging as P
 from shoebox.operators import rollups as R
 from shoebox.plans.tables import Tables, sql
@@ -90,7 +91,7 @@ def read_crop_json(t):
     rows = t.read("labels").select("doc_id", "quality", "toxic", size).withColumn("size", 256 * (1 + F.col("k")))
     crop = F.to_json(F.struct(F.col("size").alias("targetSize"), F.struct((F.col("quality") / 4).alias("x"), (F.col("toxic") / 8 + F.col("k")).alias("y")).alias("normalizedDeltas")))
     files = rows.select(F.concat_ws("_crop_", "doc_id", F.concat("size", F.lit(".json"))).alias("file"), crop.alias("value"))
-    broken = t.read("labels").select(F.concat("doc_id", F.lit("_crop_999.json")).alias("file"), F.lit("{nope").alias("value"))
+    broken = t.read("labels").filter("doc_id % 10 = 0").select(F.concat("doc_id", F.lit("_crop_999.json")).alias("file"), F.lit("{nope").alias("value"))
     path = _folder(t, "crops")
     _side_files(files.unionByName(broken), path)
     return S.read_crop_json(t.spark, path).select("image_id", "target_size", r6(F.col("delta_x")).alias("delta_x"), r6(F.col("delta_y")).alias("delta_y"))
@@ -305,14 +306,20 @@ def photosets_by_year(t):
     return t.photosets.filter("year = 1996").select("id", "name")
 
 
-@query("photosets", "select id, name from photosets where name ilike '%T_12%' escape '~'")
+@query("photosets", "select 'T_12' pattern, id, name from photosets where name ilike '%T_12%' escape '~' union all select 'SET%177', id, name from photosets where name ilike '%SET%177%' escape '~' union all select '_', id, name from photosets where name ilike '%123%'")
 def search_name(t):
-    return t.photosets.filter(F.col("name").ilike("%T_12%")).select("id", "name")
+    """Three patterns in one index: one without a run, one with a run before a wild card, one literal."""
+    path = _folder(t, "names")
+    GR.write_name_index(t.photosets, path, "id", "name")
+    found = [GR.search_names(t.spark, path, t.photosets, p, "id", "name").select(F.lit(as_).alias("pattern"), "id", "name") for p, as_ in (("T_12", "T_12"), ("SET%177", "SET%177"), ("123", "_"))]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 @query("images", "select id, file_path from images where contains(filename, '3.jp') or contains(file_path, '3.jp') order by id limit 1")
 def find_by_pattern(t):
-    return C.find_by_pattern(t.images, "3.jp").select("id", "file_path")
+    path = _folder(t, "file-names")
+    GR.write_name_index(t.images, path, "id", C.file_names())
+    return C.find_by_pattern(t.images, "3.jp", path).select("id", "file_path")
 
 
 @query("images", "select id, case when width <= 1200 and height <= 1200 then width else cast(trunc(width * (1200.0::double / greatest(width, height))) as int) end w, case when width <= 1200 and height <= 1200 then height else cast(trunc(height * (1200.0::double / greatest(width, height))) as int) end h from images")
