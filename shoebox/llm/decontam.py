@@ -9,8 +9,9 @@ that what a task holds is bounded whatever the benchmark's size. For a block:
 3. Every document is cut into overlapping word windows. A window's cosine with an item passage is the product of their latent
    vectors over the norm of the window's words that the block has; a window that holds the passage's own share of the product is
    a candidate, too, whatever stands beside it. Where a stretch lacks too many words of an item for a match, it is not projected.
-4. Candidates are verified on the words around the window: length of the longest common subsequence with the item, and
-   whether the item's last words (its answer) stand there in a row.
+4. Candidates are verified on the words around the window: length of the longest common subsequence with the item, or, where
+   that is too short, of those with its clauses, each in a stretch of about its own length, in any order; and whether the item's
+   last words (its answer) stand there in a row.
 """
 
 from __future__ import annotations
@@ -32,9 +33,11 @@ SCALES = ((32, 16), (12, 6))  # words in a window, and from one window to the ne
 STRETCH = 32  # windows that are projected at once
 FEW = 32  # up to so many passages, words are multiplied with them before they are summed (the same product)
 COSINE = 0.3
-COMMON = 0.7  # share of an item's words in the common subsequence
-COMMON_WITH_ANSWER = 0.6
+COMMON = 0.6  # share of an item's words in the common subsequence, or in those of its clauses
+COMMON_WITH_ANSWER = 0.55
 ANSWER_WORDS = 5
+CLAUSE_WORDS = 8  # words of a clause of an item, and the share that counts for one
+CLAUSE_COMMON = 0.75
 
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -190,6 +193,23 @@ def common_length(item: list[bytes], words: list[bytes]) -> int:
     return len(item) - (v & full).bit_count()
 
 
+def clause_share(item: list[bytes], words: list[bytes]) -> float:
+    """Share of an item's words in common subsequences of its clauses with stretches of one and a half clauses' length, in any
+    order; a clause of which less than CLAUSE_COMMON is found counts nothing."""
+    found, total = 0, len(item)
+    left = total
+    for a in range(0, total, CLAUSE_WORDS):
+        clause = item[a : a + CLAUSE_WORDS]
+        width, own = len(clause) + CLAUSE_WORDS // 2, set(clause)
+        # stretches start at words of the clause; another start has no more of it
+        best = max((common_length(clause, words[s : s + width]) for s, w in enumerate(words) if w in own), default=0)
+        found += best if best >= CLAUSE_COMMON * len(clause) else 0
+        left -= len(clause)
+        if found + left < COMMON * total:
+            return found / total
+    return found / total
+
+
 def _in_a_row(part: list[bytes], words: list[bytes]) -> bool:
     n = len(part)
     return any(words[i : i + n] == part for i in range(len(words) - n + 1))
@@ -219,13 +239,16 @@ def candidates(at: np.ndarray, block: Block, threshold: float = COSINE) -> dict[
     for k, (owner, latent, length) in block.passages.items():
         width, step = SCALES[k]
         reach = int(block.sizes[owner].max())
+        mark = np.zeros(len(block.times), bool)  # the last place is for words outside the vocabulary
         starting = starts(len(at), width, step)
         for s in range(0, len(starting), STRETCH):
             first = starting[s : s + STRETCH]
             stop = np.minimum(first + width, len(at))
             low, high = int(first[0]), int(stop[-1])
-            present = np.unique(at[max(0, low - reach) : high + reach])
-            chosen = np.flatnonzero((block.times[present].sum(0) / block.sizes >= COMMON_WITH_ANSWER)[owner])
+            around = at[max(0, low - reach) : high + reach]
+            mark[around] = True
+            chosen = np.flatnonzero((block.times[np.flatnonzero(mark)].sum(0) / block.sizes >= COMMON_WITH_ANSWER)[owner])
+            mark[around] = False
             place = low + np.flatnonzero(at[low:high] >= 0)
             a, b = np.searchsorted(place, first), np.searchsorted(place, stop)
             full = np.flatnonzero(a < b)
@@ -262,6 +285,8 @@ def verify(words: list[bytes], at: np.ndarray, block: Block, found: dict[int, li
                 continue
             region = words[lo:hi]
             share = common_length(item, region) / len(item)
+            if share < COMMON:
+                share = max(share, clause_share(item, region))
             if share >= COMMON_WITH_ANSWER and (best is None or (share, cosine) > (best[2], best[1])):
                 answer = _in_a_row(item[-ANSWER_WORDS:], region)
                 if share >= COMMON or answer:

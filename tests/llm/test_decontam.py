@@ -119,3 +119,36 @@ def test_rare_neighbours_do_not_hide_an_item_of_common_words(spark):
     items = spark.createDataFrame([(1, " ".join(common)), (2, " ".join(other))], "item_id long, text string")
     got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(100, 1), (101, 1), (101, 2)} and all(r.common_share == 1 for r in got)
+
+
+def planted(share, clauses, seed):
+    """Documents with one item each, rewritten, between 60 words of the same vocabulary on either side; and as many without."""
+    rng = random.Random(seed)
+    vocab = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 8))) for _ in range(900)]
+    words = lambda n: [vocab[int(len(vocab) * rng.random() ** 2)] for _ in range(n)]  # noqa: E731  some words are common
+    items, docs = [words(rng.randrange(24, 60)) for _ in range(60)], []
+    for i, item in enumerate(items):
+        text = list(item)
+        for j in rng.sample(range(len(text)), round(share * len(text))):
+            text[j] = words(1)[0]
+        if clauses:
+            parts = [text[a : a + 8] for a in range(0, len(text), 8)]
+            rng.shuffle(parts)
+            text = [w for p in parts for w in p]
+        docs += [(i, " ".join(words(60) + text + words(60))), (1000 + i, " ".join(words(160)))]
+    return docs, [(i, " ".join(w)) for i, w in enumerate(items)]
+
+
+def test_recall_of_rewritten_items(spark):
+    for share, clauses in ((0.1, False), (0.2, False), (0.35, False), (0.0, True)):
+        docs, items = planted(share, clauses, 11)
+        got = {(r.doc_id, r.item_id) for r in decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+        assert len(got & {(i, i) for i in range(60)}) >= 57 and not got - {(i, i) for i in range(60)}
+
+
+def test_clauses_in_any_order():
+    item = [b"w%d" % i for i in range(24)]
+    assert decontam.clause_share(item, [b"x"] * 5 + item[8:16] + item[:8] + [b"y"] + item[16:]) == 1
+    assert decontam.clause_share(item, item[:8] + [b"x"] * 40) == 8 / 24
+    spread = [w for x in item for w in (x, b"a", b"b", b"c", b"d")]
+    assert decontam.clause_share(item, spread) == 0 and decontam.common_length(item, spread) == 24
