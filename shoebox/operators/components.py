@@ -29,7 +29,7 @@ def _mark(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "u", dst: str = "v") -> DataFrame:
     """(node, component) for every node of ``edges``; component is the smallest node that it reaches.
 
     Edges are undirected; loops and repeated edges are harmless, edges with a null end are ignored (their other end
@@ -40,14 +40,10 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_r
     stars = pairs.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     stars = materialize(stars, "components")
     mark = _mark(stars)
-    for _ in range(max_rounds):
-        if not mark[0]:
-            break
+    while mark[0]:  # every round that changes something brings nodes nearer to their heads
         stars = materialize(_small_star(_large_star(stars)), "components")
         before, mark = mark, _mark(stars)
         if mark == before:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     heads = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return loops.join(heads, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -382,9 +382,12 @@ def primary_person(t):
     return _people(t).select("image_id", G.primary_person(F.col("people")).alias("p")).select("image_id", "p.person_id", "p.pose_confidence")
 
 
-@query()
+NEAR = "(list_sum(list_transform(range(1, 18), lambda i: sqrt(pow(k.m[2*i-1] - p[1].m[2*i-1], 2) + pow(k.m[2*i] - p[1].m[2*i], 2)))) / 17 < 0.12)"
+
+
+@query("emb", f"with g as (select id % 50 g, list([{{'i': id, 'm': v[1:34]}}] order by id) people from emb group by 1) select g, array_to_string(list_transform(list_reduce(people, lambda kept, p: case when len(list_filter(kept, lambda k: {NEAR})) > 0 then kept else kept || p end), lambda k: k.i), ',') kept from g")
 def dedupe_people(t):
-    """Greedy folds have no plain SQL; tested against brute force."""
+    """A greedy fold over each group's people, in order of id."""
     e = t.emb.withColumn("g", F.col("id") % 50)
     person = F.struct(F.col("id").alias("person_id"), F.slice("v", 1, 34).alias("landmarks"))
     g = e.groupBy("g").agg(F.array_sort(F.collect_list(person)).alias("people"))

@@ -204,12 +204,19 @@ def cluster_leader_simple(t):
     return K.leader(_unit(t), 0.3, 3, simple=True, unit=True)
 
 
-@query("sep", "select count(distinct label) clusters, sum(n)::bigint pairs from (select label, count(*) * (count(*) - 1) // 2 n from sep group by label)")
+PLANTED = "with h as (select label, cast(dense_rank() over (order by min(id)) - 1 as int) cluster_id from sep group by label) select id, cluster_id from sep join h using (label)"
+
+
+def _by_smallest_row(t, labels):
+    """Clusters numbered by their smallest row, so that equal partitions have equal numbers."""
+    first = labels.groupBy("cluster_id").agg(F.min("id").alias("component"))
+    return K.numbered_clusters(t.sep, labels.join(first, "cluster_id").select("id", "component"))
+
+
+@query("sep", PLANTED)
 def cluster_kmeans(t):
-    """Ten separated clusters: their number and how many pairs of rows share both cluster and label."""
-    got = K.kmeans(t.sep, 10, restarts=10, max_iter=50).join(t.emb.select("id", "label"), "id")
-    both = got.groupBy("cluster_id", "label").agg(F.count("*").alias("n"))
-    return both.agg(F.count_distinct("cluster_id").alias("clusters"), F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("long")).alias("pairs"))
+    """Ten separated clusters, row by row."""
+    return _by_smallest_row(t, K.kmeans(t.sep, 10, restarts=10, max_iter=50))
 
 
 @query()
@@ -217,7 +224,7 @@ def kmeans_auto_k(t):
     return K.auto_k(t.sep, 12)
 
 
-@query("sep", "with h as (select label, cast(dense_rank() over (order by min(id)) - 1 as int) cluster_id from sep group by label) select id, cluster_id from sep join h using (label)")
+@query("sep", PLANTED)
 def cluster_dbscan(t):
     return K.dbscan(t.sep, 0.5, 5)
 
@@ -297,7 +304,19 @@ def batch_infer(t):
     return infer(t.emb.select("id", "v"), load, "id long, total double").select("id", F.round("total", 5).alias("total"))
 
 
-@query("emb", "select id, cast(label % 2 as int) cluster_id from emb")
+MEANS = f"with m as (select label, list(x order by pos) v from (select label, pos, avg(v[pos]) x from emb, range(1, 65) r(pos) group by 1, 2) group by 1), d as (select id, m.label, {L2.format(a='emb.v', b='m.v')} d from emb, m) select id, cast(case when min(d) <= 0.98 then arg_min(label, (d, label)) else -1 end as int) cluster_id, round(min(d), 6) distance from d group by id"
+
+
+@query("emb", MEANS)
 def clusterer_plugin(t):
-    K.register_clusterer("parity", lambda rows: rows.select("id", (F.col("label") % 2).cast("int").alias("cluster_id")))
-    return K.CLUSTERERS["parity"](t.emb)
+    """A user's clusterer: each row to the nearest of the labels' mean vectors, noise beyond a distance."""
+
+    def nearest_mean(rows, farthest):
+        means = rows.select("label", F.posexplode("v").alias("pos", "x")).groupBy("label", "pos").agg(F.avg("x").alias("x"))
+        means = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("v"))
+        near = N.knn_join(rows.select("id", "v"), means.select(F.col("label").cast("long").alias("id"), "v"), 1, "l2")
+        label = F.when(F.col("score") <= farthest, F.col("id")).otherwise(-1).cast("int")
+        return near.select(F.col("target").alias("id"), label.alias("cluster_id"), F.col("score").alias("distance"))
+
+    K.register_clusterer("nearest_mean", nearest_mean)
+    return K.CLUSTERERS["nearest_mean"](t.emb, farthest=0.98).withColumn("distance", r6(F.col("distance")))

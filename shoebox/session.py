@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,9 +25,12 @@ def local_session(name: str = "shoebox", cpus: int | str = 8, partitions: int =
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one is set only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a local session gets a temporary one; on a
+    cluster there is none that all would see, so it has to be set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-shoebox-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
