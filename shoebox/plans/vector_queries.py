@@ -10,6 +10,7 @@ from shoebox.operators import clustering as K
 from shoebox.operators import coded as CV
 from shoebox.operators import evaluation as E
 from shoebox.operators import experiments as X
+from shoebox.operators import graph as GN
 from shoebox.operators import knn as N
 from shoebox.operators import vectors as V
 from shoebox.operators.infer import batch_infer as infer
@@ -138,6 +139,12 @@ def knn_ivf(t):
     return CV.knn_ivf(_unit(t).filter("id % 100 = 0"), _unit(t), 10)
 
 
+@query()
+def knn_graph(t):
+    """The nearest ten of every row, approximate by design; the tests measure recall and the share of pairs compared."""
+    return GN.neighbour_graph(t.sep.select("id", "v"), 10).edges
+
+
 @query("emb", MULTI + "select id, round(sum(score * pow(0.9::double, position)), 6) score from f group by id order by sum(score * pow(0.9::double, position)) desc, id limit 30")
 def combine_weighted_union(t):
     return N.weighted_union(_multi(t)).withColumn("score", r6(F.col("score")))
