@@ -16,15 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from shoebox.operators import vectors as V
-from shoebox.operators.knn import BLOCK_ROWS, _ranked, best_rows, dealt_by_key, knn_join
+from shoebox.operators.knn import _ranked, best_rows, dealt_by_key, knn_join
 from shoebox.operators.numbering import smallest
 from shoebox.session import materialize
 
 #: Rows of the sample on which centres and codebooks are fitted; rows from which the number of probed cells is measured.
 TRAIN_ROWS, MEASURED_ROWS = 16_384, 128
 MOST_CELLS, WORDS, STEPS = 4096, 256, 10
-#: Components that share one byte of the code.
-PART = 4
+#: Components that share one byte of the code; rows of either side in a block of a cell.
+PART, BLOCK_ROWS = 4, 4096
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from shoebox.operators import vectors as V
 from shoebox.operators.radius import radius_join
 
-#: Rows of either side in a block of an exact search.
-BLOCK_ROWS = 4096
+#: Rows of either side in a block of an exact search (each row is copied to all blocks of the other side, so large ones move less),
+#: and queries whose scores are held at once.
+BLOCK_ROWS, HELD_QUERIES = 16_384, 512
 
 
 def topk(rows: DataFrame, query: DataFrame, k: int = 30, metric: str = "ip", exclude: DataFrame | None = None) -> DataFrame:
@@ -54,8 +55,8 @@ def _vectors(column: pa.ChunkedArray) -> np.ndarray:
 def knn_join(queries: DataFrame, rows: DataFrame, k: int = 50, metric: str = "ip", exclude: DataFrame | None = None, blocks: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(target, id, score, rank): the k best rows for each query.
 
-    Queries and rows are dealt to blocks of about ``block_rows``; each pair of blocks is one matrix product that returns k rows
-    a query, so memory is bounded by a block pair and what is shuffled by blocks x k."""
+    Queries and rows are dealt to blocks of about ``block_rows``; each pair of blocks is a series of matrix products that return k
+    rows a query, so memory is bounded by a block pair and what is shuffled behind it by blocks x k."""
     kept = rows if exclude is None else rows.join(exclude.select("id"), "id", "left_anti")
     nq = blocks or max(1, -(-queries.count() // block_rows))
     nr = blocks or max(1, -(-kept.count() // block_rows))
@@ -76,9 +77,13 @@ def _best_of(k: int, metric: str, own: bool):
             q, r, qi, ri = x[side == 0], x[side == 1], ids[side == 0], ids[side == 1]
             order = np.argsort(ri)
             r, ri = r[order], ri[order]
-            s = _products(metric, q, r)
-            top = best_rows(s, k if own else k + 1)
-            target, found, score = np.repeat(qi, top.shape[1]), ri[top].ravel(), np.take_along_axis(s, top, 1).ravel()
+            tops, scores = [], []
+            for a in range(0, len(q), HELD_QUERIES):
+                s = _products(metric, q[a : a + HELD_QUERIES], r)
+                tops.append(best_rows(s, k if own else k + 1))
+                scores.append(np.take_along_axis(s, tops[-1], 1))
+            top, score = np.concatenate(tops), np.concatenate(scores).ravel()
+            target, found = np.repeat(qi, top.shape[1]), ri[top].ravel()
             keep = np.ones(len(target), bool) if own else target != found
             out = {"target": target[keep], "id": found[keep], "score": score[keep] if metric == "ip" else -score[keep]}
         return pa.table({"target": pa.array(out["target"], pa.int64()), "id": pa.array(out["id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})

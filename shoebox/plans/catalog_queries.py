@@ -67,11 +67,15 @@ def read_photoset_json(t):
 
 @query("", "select event_id, event_type as name, case when event_id % 7 = 0 then null else strftime(ts, '%Y-%m-%d') end as date, cast(json_extract(props, '$.k') as varchar) k from events")
 def read_import_json(t):
+    """Import objects, one a line, some of the lines broken: written and read back."""
     e = t.read("events")
     date = F.when(F.col("event_id") % 7 == 0, F.lit("soon")).otherwise(F.date_format("ts", "yyyy-MM-dd"))
     k = F.get_json_object("props", "$.k")
-    e = e.select("event_id", F.to_json(F.struct(F.col("event_type").alias("name"), date.alias("date"), k.alias("k"))).alias("json"))
-    return S.parse_import_json(e).select("event_id", "name", F.col("date").cast("string").alias("date"), F.col("extra_metadata")["k"].alias("k"))
+    path = _folder(t, "imports")
+    text = F.to_json(F.struct(F.col("event_type").alias("name"), date.alias("date"), k.alias("k"), F.col("event_id").cast("string").alias("event_id")))
+    e.select(text.alias("value")).unionByName(e.filter("event_id % 50 = 0").select(F.lit("{nope").alias("value"))).write.text(path)
+    good, _ = S.read_import_json(t.spark, path, lines=True)
+    return good.select(F.col("extra_metadata")["event_id"].cast("long").alias("event_id"), "name", F.col("date").cast("string").alias("date"), F.col("extra_metadata")["k"].alias("k"))
 
 
 def _folder(t, name):

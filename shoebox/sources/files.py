@@ -41,6 +41,14 @@ def parse_import_json(rows: DataFrame, text: str = "json") -> DataFrame:
     )
 
 
+def read_import_json(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(import rows with their path, rejected texts), one object a file or, with ``lines``, one a line."""
+    rows = spark.read.option("recursiveFileLookup", True).text(path, wholetext=not lines).filter(F.col("value").rlike(r"\S"))
+    rows = rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("json"))
+    is_object = F.try_parse_json("json").isNotNull() & F.col("json").rlike(r"^\s*\{")
+    return parse_import_json(rows.filter(is_object)).drop("json"), rows.filter(~is_object)
+
+
 def stripped(text: Column) -> Column:
     """Text without white space at either end, line ends included."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

@@ -114,3 +114,15 @@ def test_pose_lines_equal_documents(spark, tmp_path):
     lines, whole = P.read_poses(spark, str(tmp_path / "lines"), lines=True), P.read_poses(spark, str(tmp_path / "whole"))
     assert sorted(r.image_path for r in lines.records.collect()) == sorted(r.image_path for r in whole.records.collect())
     assert lines.rejects.count() == 1 and whole.rejects.count() == 0
+
+
+def test_import_objects(spark, tmp_path):
+    one = {"name": "a", "url": "u", "date": "2024-02-30", "year": 2024, "actors": ["x"], "other": 5}
+    put(tmp_path / "whole", "a.json", json.dumps(one, indent=2))
+    put(tmp_path / "whole", "b.json", "[1]")
+    put(tmp_path / "lines", "a.jsonl", "\n".join([json.dumps(one), "", "{nope", json.dumps({"source_url": "s", "date": "2024-02-29"})]))
+    good, bad = S.read_import_json(spark, str(tmp_path / "whole"))
+    r = good.first()
+    assert (r["name"], r.source_url, r.date, r.year, r.actors, r.extra_metadata) == ("a", "u", None, 2024, ["x"], {"other": "5"}) and bad.count() == 1 and good.count() == 1
+    good, bad = S.read_import_json(spark, str(tmp_path / "lines"), lines=True)
+    assert sorted((r.source_url, str(r.date)) for r in good.collect()) == [("s", "2024-02-29"), ("u", "None")] and [r.json for r in bad.collect()] == ["{nope"]
