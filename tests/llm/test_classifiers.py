@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -89,3 +90,41 @@ def test_windows_cover_the_text():
     texts = ["abc", None, "zz " * 90000, "é"]
     for a, b in zip(langid._classify_batch(texts, net), [langid.classify(t, net) for t in texts]):
         assert a[0] == b[0] and abs(a[1] - b[1]) < 1e-6
+
+
+def plain_statistics(text):
+    """The 16 statistics, character class by character class and word by word."""
+    kinds = {}
+    for k, chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" \t\r\n\x0b\x0c", b"!?", b".,;:'\"()-", b"#$%&*@^~|<>[]{}=+_\\/`")):
+        kinds |= dict.fromkeys(chars, k)
+    n, seen = len(text), [0] * 8
+    for c in text:
+        seen[kinds.get(c, 7)] += 1
+    prior = [0.02, 0.75, 0.01, 0.15, 0.001, 0.03, 0.002, 0.02]
+    out = [math.log((s + 40 * p) / (n + 40)) for s, p in zip(seen, prior)]
+    words, lines = text.split(), text.split(b"\n")
+    entropy = -sum(text.count(bytes([c])) / n * math.log(text.count(bytes([c])) / n) for c in set(text)) if n else 0.0
+    count = len(words)
+    capital = sum(w[:1].isupper() for w in words)
+    symbol = sum(w[-1] < 128 and not w[-1:].isalnum() for w in words)
+    return out + [
+        math.log((n - seen[3] + 50) / (count + 10)), math.log((len(set(words)) + 8) / (count + 8)), math.log((len(set(lines)) + 4) / (len(lines) + 4)),
+        math.log((len(lines) + 1) / (n + 300)), (entropy * n + 2.9 * 40) / (n + 40), math.log((capital + 1) / (count + 10)), math.log((symbol + 1) / (count + 10)), math.log(n + 50),
+    ]
+
+
+def test_quality_scores_equal_the_plain_discriminant(spark):
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    x = {i: np.array(plain_statistics(t)) for i, t in docs.items()}
+    own = {k: np.array([x[i] for i, q in labels.items() if q == k and not held(i)]) for k in (0, 1)}
+    cov = {k: np.cov(v.T, bias=True) for k, v in own.items()}
+    pooled = sum(len(own[k]) * cov[k] for k in (0, 1)) / sum(map(len, own.values()))
+    log = {}
+    for k in (0, 1):
+        c = 0.9 * cov[k] + 0.1 * pooled
+        c = 0.9 * c + 0.1 * np.diag(np.diag(c)) + 1e-4 * np.eye(len(c))
+        log[k] = {i: -0.5 * ((v - own[k].mean(0)) @ np.linalg.inv(c) @ (v - own[k].mean(0)) + np.linalg.slogdet(c)[1]) for i, v in x.items()}
+    prior = math.log((len(own[1]) + 1) / (len(own[0]) + 1))
+    rows = {r.doc_id: r.score for r in QUERIES["op1_quality_classifier"](spark, SF).collect()}
+    assert all(abs(rows[i] - 1 / (1 + math.exp(-max(-500, min(500, log[1][i] - log[0][i] + prior))))) < 1e-6 for i in docs)

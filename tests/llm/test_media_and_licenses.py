@@ -201,3 +201,15 @@ def test_word_numbers_of_many_places():
     for first, stop, label, edits, _ in got["fuzzy"]:
         assert edits > 0 or " ".join(words[first:stop]) in [n for n, of in licenses.NOTICES.items() if of == label]
     assert any(x[3] == 0 for x in got["fuzzy"]) and any(x[3] > 0 for x in got["fuzzy"])
+
+
+def test_media_features_of_the_whole_table(spark, sf):
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in QUERIES["op3_media_columns"](spark, sf).collect():
+        raw = docs[r.doc_id]
+        payload = raw + b" " * (192 * max(1, -(-len(raw) // 192)) - len(raw))
+        stored, n = media.wrap(payload), len(payload) // 192
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        at = len(stored) - len(payload)  # frames of 192 bytes in a row, every twelfth a keyframe
+        ranges = b"".join((at + i * 192 + d).to_bytes(8, "little") for i in range(0, n, 12) for d in (0, 192))
+        assert stored[at:] == payload and r.feature == f"raw/vide/25/{n}/{n}/{-(-n // 12)}/{zlib.crc32(ranges):08x}"
