@@ -1,7 +1,7 @@
 """Token counts of documents in flat token files without an index.
 
-A flat file is a run of fixed-width token ids in which an end-of-document id closes each document; here it is a table of its
-blocks (file, block, data), cut at a fixed number of bytes wherever that falls. Each block is searched with one vector
+A flat file is a run of fixed-width token ids in which an end-of-document id closes each document; here it is read as, or held
+as, a table of its blocks (file, block, data), cut at a fixed number of bytes wherever that falls. Each block is searched with one vector
 comparison and gives its separators and its open ends; a two-level prefix scan over the block summaries (blocks within
 super-blocks, then super-blocks) numbers the documents and closes those that run over block bounds. Only summaries,
 never tokens, are shuffled.
@@ -12,14 +12,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from shoebox.llm.bpe import load_codec
 from shoebox.llm.common import map_batches, texts_as_bytes
 from shoebox.session import materialize
+from shoebox.sources.files import list_files
 
 BLOCK_TOKENS = 1 << 18
 SUPER_BLOCK = 1024
+#: Bytes of a flat file that one task may hold; larger ones are refused.
+LARGEST_FILE = 1 << 28
 
 
 def write_token_blocks(docs: DataFrame, vocabulary: str, end_id: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -53,6 +56,30 @@ def write_token_blocks(docs: DataFrame, vocabulary: str, end_id: int, block_toke
     return materialize(rows, "tokens", compression="zstd")
 
 
+def read_token_files(spark: SparkSession, path: str, dtype: str = "<u2", block_tokens: int = BLOCK_TOKENS, largest: int = LARGEST_FILE) -> DataFrame:
+    """(file, block, data): the blocks of all flat token files below ``path``, file being a file's path.
+
+    Spark hands a binary file to a task as a whole, so files of over ``largest`` bytes raise here, and are to be written in
+    parts; a file whose length is no whole number of tokens raises in its task. Empty files have no blocks."""
+    width = np.dtype(dtype).itemsize
+    over = list_files(spark, path).filter(F.col("length") > largest).limit(1).collect()
+    if over:
+        raise ValueError(f"{over[0]['path']} has {over[0]['length']} bytes, more than {largest}")
+
+    def run(batches):
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                view = data.as_buffer()
+                if view.size % width:
+                    raise ValueError(f"{name} holds no whole number of tokens")
+                for block, at in enumerate(range(0, view.size, block_tokens * width)):
+                    part = view.slice(at, min(block_tokens * width, view.size - at)).to_pybytes()
+                    yield pa.RecordBatch.from_pydict({"file": [name], "block": pa.array([block], pa.int64()), "data": pa.array([part], pa.binary())})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", "content").mapInArrow(run, "file string, block long, data binary")
+
+
 def block_separators(blocks: DataFrame, end_id: int, dtype: str) -> DataFrame:
     """(file, block, tokens, ends): each block's length in tokens and the places of its end-of-document ids."""
     kind = np.dtype(dtype)
@@ -68,7 +95,7 @@ def block_separators(blocks: DataFrame, end_id: int, dtype: str) -> DataFrame:
 
         return step
 
-    return map_batches(blocks.select("file", "block", "data"), "file long, block long, tokens long, ends array<long>", make)
+    return map_batches(blocks.select("file", "block", "data"), f"file {dict(blocks.dtypes)['file']}, block long, tokens long, ends array<long>", make)
 
 
 def document_lengths(blocks: DataFrame, end_id: int, dtype: str = "<u2", super_block: int = SUPER_BLOCK) -> DataFrame:

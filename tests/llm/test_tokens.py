@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from tokenizers import Tokenizer
 
 from shoebox.llm import bpe, token_scan
@@ -75,3 +76,25 @@ def test_scan_of_any_blocks(spark):
     assert token_scan.document_lengths(df.limit(0), 9).count() == 0
     empty = spark.createDataFrame([(1, None, 5), (1, "", 5), (None, "a", 5)], "doc_id long, text string, n_tokens int")
     assert sorted((r.doc_id or 0, r.n_tokens) for r in token_scan.token_counts(empty, vocabulary(), END_ID).collect()) == [(0, 1), (1, 0), (1, 0)]
+
+
+def test_flat_files_on_disk(spark, tmp_path):
+    rng, want = np.random.default_rng(8), []
+    (tmp_path / "tokens" / "deep").mkdir(parents=True)
+    for name, n, share in (("a b.bin", 1000, 0.05), ("deep/c.bin", 700, 0.3), ("none.bin", 300, 0.0), ("empty.bin", 0, 0.0), ("ends.bin", 5, 1.0)):
+        ids = np.where(rng.random(n) < share, 9, rng.integers(10, 70000, n)).astype("<u4")
+        ids.tofile(tmp_path / "tokens" / name)
+        ends = [-1, *np.flatnonzero(ids == 9).tolist()]
+        want += [(name, i, b - a - 1) for i, (a, b) in enumerate(zip(ends, ends[1:]))]
+        if ends[-1] < n - 1:
+            want.append((name, len(ends) - 1, n - 1 - ends[-1]))
+    path = str(tmp_path / "tokens")
+    for block in (7, 1 << 18):
+        blocks = token_scan.read_token_files(spark, path, "<u4", block)
+        got = [(r.file.split("/tokens/")[1], r.ordinal, r.n_tokens) for r in token_scan.document_lengths(blocks, 9, "<u4").collect()]
+        assert sorted(got) == sorted(want)
+    with pytest.raises(ValueError):
+        token_scan.read_token_files(spark, path, "<u4", largest=100)
+    (tmp_path / "tokens" / "odd.bin").write_bytes(b"abc")
+    with pytest.raises(Exception, match="no whole number of tokens"):
+        token_scan.read_token_files(spark, path, "<u4").count()
