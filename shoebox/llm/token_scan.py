@@ -128,9 +128,9 @@ def document_lengths(blocks: DataFrame, end_id: int, dtype: str = "<u2", super_b
         F.coalesce(F.col("base") + F.col("end_before"), F.col("s_before"), F.lit(-1)).alias("previous"),
     )
     closed = found.join(placed, ["file", "block"]).select("file", "ordinal", "previous", F.transform("ends", lambda e: e + F.col("at")).alias("ends"))
-    closed = closed.select("file", "ordinal", "previous", F.posexplode("ends").alias("i", "end"), "ends")
-    before = F.when(F.col("i") == 0, F.col("previous")).otherwise(F.try_element_at("ends", F.col("i")))
-    closed = closed.select("file", (F.col("ordinal") + F.col("i")).alias("ordinal"), (F.col("end") - before - 1).alias("n_tokens"))
+    before = F.slice(F.concat(F.array("previous"), "ends"), F.lit(1), F.size("ends"))
+    closed = closed.select("file", "ordinal", F.posexplode(F.zip_with("ends", before, lambda end, last: end - last - 1)).alias("i", "n_tokens"))
+    closed = closed.select("file", (F.col("ordinal") + F.col("i")).alias("ordinal"), "n_tokens")
     totals = placed.join(found.select("file", "block", "tokens", "ends"), ["file", "block"]).groupBy("file").agg(
         F.max(F.col("at") + F.col("tokens")).alias("stop"),
         F.max(F.greatest("previous", F.col("at") + F.try_element_at("ends", F.lit(-1)))).alias("end"),
