@@ -20,12 +20,17 @@ def squared_distance(a: Column, b: Column) -> Column:
 def l2_normalize(v: Column) -> Column:
     """Unit vector; null for a zero vector."""
     n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n))
+    return F.when(n > 0, divided(v, n))
+
+
+def divided(v: Column, n: Column) -> Column:
+    """A vector over a number; the number is an argument, not part of the function, which would take it anew for each component."""
+    return F.zip_with(v, F.array_repeat(n, F.size(v)), lambda x, d: x.cast("double") / d)
 
 
 def with_unit_vectors(rows: DataFrame, vector: str = "v") -> DataFrame:
     """Rows with unit vectors; zero and null vectors are left out."""
-    return rows.withColumn("_n", norm(F.col(vector))).filter("_n > 0").withColumn(vector, F.transform(vector, lambda x: x.cast("double") / F.col("_n"))).drop("_n")
+    return rows.withColumn("_n", norm(F.col(vector))).filter("_n > 0").withColumn(vector, divided(F.col(vector), F.col("_n"))).drop("_n")
 
 
 def mean_vector(rows: DataFrame, vector: str = "v") -> DataFrame:
