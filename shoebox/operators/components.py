@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star rounds (Kiveris et al., 2014).
 
-Every round is a grouped minimum and one equi-join on the node; no neighbour list is ever gathered, so a hub
-node costs a skewed join (split by AQE), not a large row. Each round is written to the shared folder.
+Every star is a grouped minimum and one equi-join on the node; no neighbour list is ever gathered. The minima are written before
+they are joined: a join whose side is grouped in the same stage has to keep all rows of a hub in one task, one that reads both
+sides as they are may be split by AQE, or broadcasts minima that are few. Each round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -14,12 +15,13 @@ from shoebox.session import materialize
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
+    low = materialize(low, "components-low")
     return both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.filter("u > v")
-    low = down.groupBy("u").agg(F.min("v").alias("low"))
+    low = materialize(down.groupBy("u").agg(F.min("v").alias("low")), "components-low")
     moved = down.join(low, "u").filter("v != low").select(F.col("v").alias("u"), F.col("low").alias("v"))
     return moved.unionByName(low.select("u", F.col("low").alias("v"))).distinct()
 
