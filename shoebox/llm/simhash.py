@@ -314,8 +314,9 @@ def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS, bucket_rows: in
     table gives no rows; other columns of ``docs`` are ignored.
     """
     rows = materialize(fingerprints(docs).drop("mark"), "simhash-docs")
-    named = _groups_of_fingerprints(rows, radius, bucket_rows)
-    lows = named.groupBy("head").agg(F.min("low").alias("component_id"))
+    named = materialize(_groups_of_fingerprints(rows, radius, bucket_rows), "simhash-named")
+    # written before it is joined, so that the rows of one large group need not meet in one task
+    lows = materialize(named.groupBy("head").agg(F.min("low").alias("component_id")), "simhash-lows")
     ids = named.join(lows, "head").select("fp", "component_id")
     return rows.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
