@@ -322,7 +322,8 @@ def repeated_spans(texts: DataFrame, least: int = LEAST, most_segments: int = MO
 
     cores = map_batches(texts.select("key", "packed"), "key binary, place long, core long", make_cores)
     place = F.xxhash64("key", "place")
-    twice = cores.groupBy("core").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a != b").select("core")
+    # written before it is joined, as what is settled below: the rows of one very common core need not meet in one task then
+    twice = materialize(cores.groupBy("core").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a != b").select("core"), "cores")
     wanted = cores.join(twice, "core").groupBy("key").agg(F.collect_list("place").alias("places"), F.collect_list("core").alias("cores"))
 
     def make_segments():
@@ -351,7 +352,7 @@ def repeated_spans(texts: DataFrame, least: int = LEAST, most_segments: int = MO
 
     schema = "key binary, first long, windows int, lead int, core long, segment binary, body binary"
     rows = materialize(map_batches(texts.join(wanted, "key").select("key", "packed", "places", "cores"), schema, make_segments), "segments")
-    settled = _settled(rows, least, spans, most_segments, batch_rows)
+    settled = materialize(_settled(rows, least, spans, most_segments, batch_rows), "settled")
     spans_ = rows.select("key", "first", "windows", "core", "segment").join(settled, ["core", "segment"])
     whole = F.col("places") > 1
     starts = F.when(whole, F.array(F.col("first"))).otherwise(F.transform("starts", lambda x: x + F.col("first")))
