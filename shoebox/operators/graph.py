@@ -1,4 +1,4 @@
-"""Approximate neighbour graph of all rows by descent over neighbours of neighbours (Dong, Moses and Li, 2011).
+"""Neighbour graph of all rows: exact, or approximate by descent over neighbours of neighbours (Dong, Moses and Li, 2011).
 
 From random neighbours on, each round brings the neighbours of a row, and the rows whose neighbour it is, together: any two of
 them may be neighbours of each other. Pairs are compared once at least one of the two is new to the row, and kept where they are
@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from shoebox.operators.knn import all_nearest
 from shoebox.operators.numbering import numbered
 from shoebox.session import materialize
 
@@ -128,3 +129,11 @@ def neighbour_graph(rows: DataFrame, k: int = 10, pool: int = POOL, rounds: int
     top = edges.filter(F.col("rank") <= k).join(name.select(F.col("node").alias("u"), F.col("id").alias("target")), "u").join(name.withColumnRenamed("node", "v"), "v")
     ranked = F.row_number().over(Window.partitionBy("target").orderBy("d", "id"))
     return NeighbourGraph(top.select("target", "id", F.col("d").alias("score"), ranked.alias("rank")), compared, n * (n - 1) // 2, done)
+
+
+def exact_graph(rows: DataFrame, k: int = 10) -> NeighbourGraph:
+    """The k nearest rows (squared distance) of every row (id, v), all found. The work is that of all pairs, in matrix products; what
+    moves is a few copies of the vectors, where a round of the descent moves twice the pool. Null vectors are left out."""
+    given = rows.filter("v is not null").select("id", "v")
+    n = given.count()
+    return NeighbourGraph(all_nearest(given, k, "l2", own=False), n * (n - 1) // 2, n * (n - 1) // 2, 0)
