@@ -31,7 +31,8 @@ def containing(rows: DataFrame, keys: DataFrame, text: str = "text", key: str =
     # a run that no text has gives its key away as absent, so counts are joined inner only where all runs are there
     counted = long.join(seen, "_run", "left").groupBy("_key").agg(F.min_by("_run", F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_run").alias("r"))).alias("_run"))
     short = wanted.filter((F.length("_key") > 0) & (F.length("_key") < n)).select("_key", F.col("_key").alias("_run"))
-    parts = F.flatten(F.array(*[runs_of(F.col(text), m) for m in range(1, n + 1)]))
+    lengths = {n, *(r["m"] for r in short.select(F.length("_key").alias("m")).distinct().collect())}  # runs of other lengths meet no key
+    parts = F.flatten(F.array(*[runs_of(F.col(text), m) for m in sorted(lengths)]))
     found = rows.withColumn("_run", F.explode(parts)).join(counted.select("_key", "_run").unionByName(short), "_run").drop("_run")
     found = found.filter(F.col(text).contains(F.col("_key")))
     empty = rows.filter(F.col(text).isNotNull()).join(F.broadcast(wanted.filter("_key = ''")))  # one row at most
