@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
+#: People that are compared at once, and kept ones with whom.
+PEOPLE_AT_ONCE, KEPT_AT_ONCE = 64, 2048
+
 
 def thumb_size(w: Column, h: Column, limit: int = 1200) -> tuple[Column, Column]:
     """Unchanged if both sides fit, else the longest side becomes ``limit``; truncated."""
@@ -57,9 +63,63 @@ def mean_distance(a: Column, b: Column) -> Column:
     return F.when(n > 0, F.aggregate(d, F.lit(0.0), lambda s, x: s + x) / n).otherwise(F.lit(float("inf")))
 
 
+def _near(kept: np.ndarray, people: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the people (columns of components, as kept) are nearer than the threshold to any kept one; sums go joint by joint."""
+    joints, out = len(kept) // 2, np.zeros(people.shape[1], bool)
+    for c in range(0, kept.shape[1] if joints else 0, KEPT_AT_ONCE):
+        k, s = kept[:, c : c + KEPT_AT_ONCE], 0.0
+        for i in range(0, joints * 2, 2):
+            dx, dy = people[i][:, None] - k[i][None], people[i + 1][:, None] - k[i + 1][None]
+            s = s + np.sqrt(dx * dx + dy * dy)
+        out |= (s / joints < threshold).any(1)
+    return out
+
+
+def _kept_people(landmarks: pa.Array, threshold: float) -> list[int]:
+    """Positions of the people of one array whom a fold in order keeps, given their landmarks. Kept ones are held as matrices by their
+    number of landmarks; people are looked at in parts, against all kept before the part at once."""
+    widths = [-1 if n is None else n for n in pc.list_value_length(landmarks).to_pylist()]
+    values, ends = landmarks.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.maximum(widths, 0))
+    vector = lambda i: values[ends[i] - max(widths[i], 0) : ends[i]]
+    held, count, out = {}, {}, []
+
+    def keep(i):
+        w = max(widths[i], 0)
+        if count.setdefault(w, 0) == (held[w].shape[1] if w in held else 0):
+            held[w] = np.concatenate([held.get(w, np.zeros((w, 0))), np.zeros((w, max(64, count[w])))], axis=1)
+        held[w][:, count[w]] = vector(i)
+        count[w] += 1
+        out.append(i)
+
+    def near(some, since):
+        """Of people of one width, who is near a kept one of at most that width, from the given numbers of kept ones on."""
+        x, found = np.stack([vector(i) for i in some], 1), np.zeros(len(some), bool)
+        for w, n in count.items():
+            if w <= len(x) and since.get(w, 0) < n:
+                found |= _near(held[w][:, since.get(w, 0) : n], x[:w], threshold)
+        return found
+
+    for a in range(0, len(widths), PEOPLE_AT_ONCE):
+        part = range(a, min(a + PEOPLE_AT_ONCE, len(widths)))
+        before, gone = dict(count), set()
+        for w in {widths[i] for i in part} - {-1}:
+            same = [i for i in part if widths[i] == w]
+            gone |= {i for i, x in zip(same, near(same, {})) if x}
+        for i in part:
+            if i not in gone and (widths[i] == -1 or not near([i], before)[0]):
+                keep(i)
+    return out
+
+
 def dedupe_people(people: Column, kind: str, threshold: float = 0.1) -> Column:
-    """Greedy in order: a person nearer than ``threshold`` to one already kept is dropped. ``kind`` is the array's DDL type."""
-    return F.aggregate(
-        people, F.expr(f"cast(array() as {kind})"),
-        lambda kept, p: F.when(F.exists(kept, lambda k: mean_distance(k["landmarks"], p["landmarks"]) < threshold), kept).otherwise(F.array_append(kept, p)),
-    )
+    """Greedy in order: a person nearer than ``threshold`` to one already kept is dropped. ``kind`` is the array's DDL type.
+
+    Landmarks are compared by their mean distance, as in ``mean_distance``; with fewer than a kept person has, or with gaps, a
+    person is near to none."""
+
+    @F.arrow_udf("array<int>")
+    def kept(landmarks: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else _kept_people(x, threshold) for x in (landmarks[i].values for i in range(len(landmarks)))], pa.list_(pa.int32()))
+
+    marks = F.transform(people, lambda p: p["landmarks"].cast("array<double>"))
+    return F.transform(kept(marks), lambda i: F.get(people, i)).cast(kind)
