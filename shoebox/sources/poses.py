@@ -44,9 +44,10 @@ def parse_poses(documents: DataFrame, value: str = "value", source: str = "path"
     features (the picture's pose vector, null without a pose) to the fields of a record."""
     text = F.col(value)
     listed = F.when(text.rlike(r"^\s*\["), F.from_json(text, "array<string>")).otherwise(F.array(text))
-    each = documents.select(F.col(source).alias("source"), text.alias("document"), F.explode_outer(listed).alias("item"))
-    each = each.filter(F.col("document").rlike(r"\S"))  # blank lines are no records
-    parsed = each.withColumn("r", F.from_json("item", RECORD + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
+    # read where it is listed, so that no filter on what is read has it read again
+    read = F.transform(listed, lambda x: F.struct(x.alias("item"), F.from_json(x, RECORD + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("r")))
+    each = documents.select(F.col(source).alias("source"), text.alias("document"), F.explode_outer(read).alias("_x"))
+    parsed = each.filter(F.col("document").rlike(r"\S")).select("source", "document", "_x.item", "_x.r")  # blank lines are no records
     reason = F.when(F.col("item").isNull(), "no JSON").when(F.col("r").isNull() | F.col("r._corrupt").isNotNull(), "no record").when(F.col("r.image_path").isNull(), "no image_path")
     told = parsed.withColumn("reason", reason)
     good = told.filter("reason is null").select("source", "r.*").drop("_corrupt")
