@@ -7,11 +7,19 @@ the one that the fewest strings have; patterns are looked up in a stored table o
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Characters of a run by which keys and strings are joined, and of one in the stored table.
 KEY_RUN, NAME_RUN = 5, 3
+#: Most ids in a row of the stored table, so that a run that all names have is many rows, which many files share.
+POSTED = 256
+#: Bytes of names whose runs are sorted at once.
+SORTED_BYTES = 1 << 20
 
 
 def runs_of(text: Column, n: int) -> Column:
@@ -39,11 +47,62 @@ def containing(rows: DataFrame, keys: DataFrame, text: str = "text", key: str =
     return found.unionByName(empty.select(*found.columns)).withColumnRenamed("_key", key)
 
 
+def _postings(names: pa.Array, n: int) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """(runs, offsets, rows): rows of ``names`` with each run of n characters, from offset to offset, at most ``POSTED`` a run.
+
+    A run and its row are one number, a letter's place among the letters at hand for each character and then the row; where that
+    takes over 63 bits, the halves of ``names`` are taken by themselves."""
+    points = np.frombuffer("".join(names.to_pylist()).encode("utf-32-le"), "<u4")
+    if len(points) < n:
+        return
+    seen = np.zeros(int(points.max()) + 1, bool)
+    seen[points] = True
+    letters, spots = np.flatnonzero(seen), (np.cumsum(seen) - 1)[points]
+    wide, deep = max(1, (len(letters) - 1).bit_length()), (len(names) - 1).bit_length()
+    if n * wide + deep > 63:
+        if len(names) == 1:
+            raise ValueError(f"runs of {n} characters out of {len(letters)} do not fit a number")
+        half = len(names) // 2
+        for start, part in ((0, names[:half]), (half, names[half:])):
+            for runs, offsets, rows in _postings(part, n):
+                yield runs, offsets, rows + start
+        return
+    row = np.repeat(np.arange(len(names)), pc.utf8_length(names).to_numpy(zero_copy_only=False))
+    code = np.zeros(len(row) - n + 1, np.int64)
+    for k in range(n):
+        code = code << wide | spots[k : len(code) + k]
+    key = np.sort((code << deep | row[: len(code)])[row[: len(code)] == row[n - 1 :]])  # runs across two names are left out
+    key = key[np.diff(key, prepend=-1) > 0]
+    code = key >> deep
+    first = np.flatnonzero(np.diff(code, prepend=-1))
+    within = np.arange(len(key)) - np.repeat(first, np.diff(np.r_[first, len(key)]))
+    cut = np.flatnonzero(within % POSTED == 0)
+    shifts = wide * np.arange(n - 1, -1, -1)
+    text = letters[code[cut][:, None] >> shifts & (1 << wide) - 1].astype("<u4").tobytes().decode("utf-32-le")
+    yield [text[i : i + n] for i in range(0, len(text), n)], np.r_[cut, len(key)], key & (1 << deep) - 1
+
+
 def write_name_index(rows: DataFrame, path: str, id_: str, name: str | Column, files: int = 64, n: int = NAME_RUN) -> None:
-    """Stores (run, id) for every run of a lower-case name, dealt and sorted by run: readers skip files and pages by it."""
-    text = F.lower(F.col(name) if isinstance(name, str) else name)
-    each = rows.select(F.explode(runs_of(text, n)).alias("run"), F.col(id_).alias("id"))
-    each.repartitionByRange(files, "run", "id").sortWithinPartitions("run", "id").write.mode("overwrite").parquet(path)
+    """Stores (run, ids) for every run of a lower-case name, dealt and sorted by run: readers skip files and pages by it.
+
+    The ids of one run are in several rows, of ``POSTED`` ids at most, made in the tasks that read the names; so few rows
+    are shuffled and sorted."""
+    text = F.lower(F.make_valid_utf8(F.col(name) if isinstance(name, str) else name))
+
+    def post(batches):
+        for batch in batches:
+            ids, names = batch.column(0), batch.column(1)
+            before = np.cumsum(pc.binary_length(names).to_numpy(zero_copy_only=False))
+            cuts = np.r_[0, np.flatnonzero(np.diff(before // SORTED_BYTES)) + 1, len(names)]
+            for start, end in zip(cuts[:-1], cuts[1:]):
+                for runs, offsets, at in _postings(names[start:end], n):
+                    lists = pa.ListArray.from_arrays(offsets.astype(np.int32), ids.take(pa.array(at + start)))
+                    yield pa.RecordBatch.from_arrays([pa.array(runs, pa.string()), lists], ["run", "ids"])
+
+    named = rows.select(F.col(id_).alias("id"), text.alias("name"))
+    kind = named.schema["id"].dataType.simpleString()
+    each = named.filter(F.length("name") >= n).mapInArrow(post, f"run string, ids array<{kind}>")
+    each.repartitionByRange(files, "run", F.get("ids", F.lit(0))).sortWithinPartitions("run", F.get("ids", F.lit(0))).write.mode("overwrite").parquet(path)
 
 
 def candidates(spark: SparkSession, path: str, parts: list[str], n: int = NAME_RUN) -> DataFrame | None:
@@ -51,7 +110,7 @@ def candidates(spark: SparkSession, path: str, parts: list[str], n: int = NAME_R
     runs = sorted({low[i : i + n] for low in map(str.lower, parts) for i in range(len(low) - n + 1)})
     if not runs:
         return None
-    posted = spark.read.parquet(path).filter(F.col("run").isin(*runs)).groupBy("id").agg(F.count_distinct("run").alias("k"))
+    posted = spark.read.parquet(path).filter(F.col("run").isin(*runs)).select("run", F.explode("ids").alias("id")).groupBy("id").agg(F.count_distinct("run").alias("k"))
     return posted.filter(F.col("k") == len(runs)).select("id")
 
 
