@@ -84,10 +84,11 @@ def _postings(names: pa.Array, n: int) -> Iterator[tuple[list[str], np.ndarray,
 
 def write_name_index(rows: DataFrame, path: str, id_: str, name: str | Column, files: int = 64, n: int = NAME_RUN) -> None:
     """Stores (run, ids) for every run of a lower-case name, dealt and sorted by run: readers skip files and pages by it.
+    The lower case of Σ depends on what follows, which a pattern's end hides, so both its forms are one letter.
 
     The ids of one run are in several rows, of ``POSTED`` ids at most, made in the tasks that read the names; so few rows
     are shuffled and sorted."""
-    text = F.lower(F.make_valid_utf8(F.col(name) if isinstance(name, str) else name))
+    text = F.replace(F.lower(F.make_valid_utf8(F.col(name) if isinstance(name, str) else name)), F.lit("ς"), F.lit("σ"))
 
     def post(batches):
         for batch in batches:
@@ -107,7 +108,7 @@ def write_name_index(rows: DataFrame, path: str, id_: str, name: str | Column, f
 
 def candidates(spark: SparkSession, path: str, parts: list[str], n: int = NAME_RUN) -> DataFrame | None:
     """(id) of the names that the index has under every run of all ``parts``; None where no part is as long as a run."""
-    runs = sorted({low[i : i + n] for low in map(str.lower, parts) for i in range(len(low) - n + 1)})
+    runs = sorted({low[i : i + n] for low in (part.lower().replace("ς", "σ") for part in parts) for i in range(len(low) - n + 1)})
     if not runs:
         return None
     posted = spark.read.parquet(path).filter(F.col("run").isin(*runs)).select("run", F.explode("ids").alias("id")).groupBy("id").agg(F.count_distinct("run").alias("k"))

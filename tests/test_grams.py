@@ -110,3 +110,14 @@ def test_names_that_are_no_utf8_are_found(spark, tmp_path):
     G.write_name_index(rows, path, "id", "name")
     found = {part: sorted(r.id for r in G.candidates(spark, path, [part]).collect()) for part in ("abc", "xyz", "cxy")}
     assert found == {"abc": [1, 2], "xyz": [1], "cxy": []}
+
+
+def test_a_pattern_that_ends_in_sigma_is_found_within_words(spark, tmp_path):
+    """A pattern's last Σ became ς and the name's σ, so that the index had not the pattern's runs."""
+    images = spark.createDataFrame([(1, "x", "ΟΔΟΣΑ"), (2, "ΟΔΟΣ", "y"), (3, "οδοσα ΟΔΟΣ", "z")], "id int, filename string, file_path string")
+    path = str(tmp_path / "index")
+    G.write_name_index(images, path, "id", C.file_names())
+    for pattern in ("ΟΔΟΣ", "ΔΟΣΑ", "οδοσ", "οδος"):
+        with_index, scan = (C.find_by_pattern(images, pattern, p).collect() for p in (path, None))
+        assert with_index == scan
+        assert G.search_names(spark, path, images, pattern, "id", "file_path").collect() == images.filter(F.col("file_path").ilike(f"%{pattern}%")).collect()
